@@ -41,6 +41,8 @@ END, BEGIN = (int(x) for x in mix64(np.array([1, 2], U64)))
 BLOBS = "shard int, blob binary"
 #: Distinct keys that a map task holds before it sends them off.
 HELD = 1_500_000
+#: Words whose sums one task adds up.
+WORDS = 100_000
 LEVEL1 = {"count": "u8", "after": "u8", "total": "u8", "left": "f8"}
 LEVEL2 = {"count": "u4"}
 
@@ -149,6 +151,8 @@ class KneserNey:
         if sum(sizes) >= 1 << 32:
             raise ValueError("a vocabulary of 2**32 words or more has no room in a pair's 64 bits")
         place = Place(sizes)
+        groups = np.arange(shards) * min(shards, -(-sum(sizes) // WORDS)) // shards  # of level 1's shards, whose sums are added by one task
+        edges1 = np.append(np.flatnonzero(np.diff(groups, prepend=-1)), shards)
 
         def pairs(batches):
             level = HashArrays.at(f"{uri}/1", shards, LEVEL1)
@@ -171,12 +175,12 @@ class KneserNey:
             second = count_unique((pair & U64(0xFFFFFFFF)).astype(np.int64))
             out = {"shard": [], "what": [], "blob": [], "n": []}
             for what, (numbers, *columns) in (("first", first), ("second", second)):
-                edges = np.searchsorted(numbers, place.base)
-                for s in np.flatnonzero(np.diff(edges)):
-                    a, b = edges[s], edges[s + 1]
-                    out["shard"].append(int(s))
+                edges = np.searchsorted(numbers, place.base[edges1])
+                for g in np.flatnonzero(np.diff(edges)):
+                    a, b = edges[g], edges[g + 1]
+                    out["shard"].append(int(g))
                     out["what"].append(what)
-                    out["blob"].append(pack_columns((numbers[a:b] - place.base[s]).astype(U64), *(c[a:b] for c in columns)))
+                    out["blob"].append(pack_columns((numbers[a:b] - place.base[edges1[g]]).astype(U64), *(c[a:b] for c in columns)))
                     out["n"].append(None)
             out["shard"].append(-1 - key[0].as_py())
             out["what"].append("counts")
@@ -189,8 +193,9 @@ class KneserNey:
         d2 = discounts([x or 0 for x in sums])
 
         def store_contexts(key, table):
-            s = key[0].as_py()
-            n = sizes[s]
+            first, last = edges1[key[0].as_py()], edges1[key[0].as_py() + 1]
+            base = place.base[first : last + 1] - place.base[first]
+            n = int(base[-1])
             after, total, n1, n2, all_ = (np.zeros(n, np.uint64) for _ in range(5))
             for what, blob in zip(table["what"].to_pylist(), table["blob"].to_pylist(), strict=True):
                 if what == "second":
@@ -201,7 +206,9 @@ class KneserNey:
                     for to, c in zip((total, n1, n2, all_), columns, strict=True):
                         to[at.astype(np.int64)] += c
             lost = d2[0] * n1 + d2[1] * n2 + d2[2] * (all_ - n1 - n2)
-            write_shard(f"{uri}/1", s, after=after, total=total, left=lost / np.maximum(total, 1))
+            left = lost / np.maximum(total, 1)
+            for s, a, b in zip(range(first, last), base[:-1], base[1:], strict=True):
+                write_shard(f"{uri}/1", s, after=after[a:b], total=total[a:b], left=left[a:b])
             return pa.table({"n": pa.array([[int((after == k).sum()) for k in (1, 2, 3, 4)] + [int((after >= 3).sum()), int(after.sum())]], pa.list_(pa.int64()))})
 
         sums = found.where("shard >= 0").select("shard", "what", "blob").groupBy("shard").applyInArrow(store_contexts, "n array<long>").agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(6))).first()
