@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lm
+from . import lm, tokencount
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
+    "op7_token_counts": tokencount.op7_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
