@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True

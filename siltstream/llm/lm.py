@@ -40,7 +40,7 @@ from ._shared import HashArrays, by_shard, pack, parts_for, shared_folder, throu
 END, BEGIN = (int(x) for x in mix64(np.array([1, 2], U64)))
 BLOBS = "shard int, blob binary"
 #: Distinct keys that a map task holds before it sends them off.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Words whose sums one task adds up.
 WORDS = 100_000
 LEVEL1 = {"count": "u8", "after": "u8", "total": "u8", "left": "f8"}
