@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm, tokencount
+from . import lm, rules, sampling, sharding, tokencount
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
+    "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
+    "op5_quality_rules": rules.op5_quality_rules,
     "op7_token_counts": tokencount.op7_token_counts,
+    "op9_segmentation_sampling": sampling.op9_segmentation_sampling,
 }
 
 ORACLE_SQL: dict[str, str] = {}
