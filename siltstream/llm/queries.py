@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import lm, rules, sampling, sharding, tokencount
+from . import chat, decontam, linededup, lm, rules, sampling, sharding, tokencount
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_rendezvous_sharding": sharding.op2_rendezvous_sharding,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op5_quality_rules": rules.op5_quality_rules,
+    "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_token_counts": tokencount.op7_token_counts,
     "op9_segmentation_sampling": sampling.op9_segmentation_sampling,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_formatting": chat.OP3_SQL,
+}
