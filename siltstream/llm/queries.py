@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, linededup, lm, rules, sampling, sharding, tokencount
+from . import chat, decontam, jaccard, linededup, lm, rules, sampling, sharding, tokencount
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_token_counts": tokencount.op7_token_counts,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_segmentation_sampling": sampling.op9_segmentation_sampling,
 }
 
