@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, jaccard, linededup, lm, rules, sampling, sharding, tokencount
+from . import chat, decontam, jaccard, linededup, lm, pagecrf, rules, sampling, sharding, tokencount
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_segmentation_sampling": sampling.op9_segmentation_sampling,
+    "op10_html_extraction": pagecrf.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
