@@ -44,7 +44,7 @@ SIZE, PERCENT = 4, 85
 #: Distinct shingles that a map task holds before it sends their counts off.
 HELD = 1_500_000
 #: A region of up to so many documents and bytes of sets is joined by one task.
-LOCAL, LOCAL_BYTES = 2000, 32 << 20
+LOCAL, LOCAL_BYTES = 400, 8 << 20
 #: So many documents are compared pair by pair.
 FEW = 24
 ROUNDS = 6
