@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, chunks, mix64, span_hashes
+from ._bytes import U64, chunks, mix64, small_batches, span_hashes
 from ._pieces import Automaton, Vocabulary, automaton, marked
 from .tokencount import PIECES
 
-SAMPLES, SEED, CHUNK = 2, 7, 4 << 20
+SAMPLES, SEED, CHUNK = 2, 7, 1 << 20
 
 
 def scatter(*parts) -> np.ndarray:
@@ -265,7 +265,7 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, samples: int =
         lengths = np.append(machine.lengths, 0)
         sizes = np.concatenate([[0], np.cumsum(lengths)])
         pool = np.frombuffer(b"".join(vocabulary.pieces.values()), np.uint8)
-        for batch in batches:
+        for batch in small_batches(batches, CHUNK):
             seeds = np.asarray(batch.column(2)).astype(U64)
             for first, data, offsets in chunks(marked(batch.column(0)), CHUNK):
                 out = {n: [] for n in ("row", "sample", "n", "log", "value", "inclusion", "md5", "ok", "ids")}
