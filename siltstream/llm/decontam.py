@@ -43,12 +43,12 @@ def masks(pattern: str) -> dict[str, int]:
     return out
 
 
-def myers(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int] | None:
-    """The least edit distance of the pattern to a part of text, and where the first such part ends; None beyond `most`. (Myers, "A fast bit-vector algorithm for approximate string matching", 1999.)"""
+def myers(peq: dict[str, int], m: int, text: str, most: int) -> list[tuple[int, int]]:
+    """(distance, end) for each place of text where a part within `most` edits of the pattern ends. (Myers, "A fast bit-vector algorithm for approximate string matching", 1999.)"""
     full = (1 << m) - 1
     top = 1 << (m - 1)
     pv, mv, score = full, 0, m
-    best, end = (m, 0) if m <= most else (most + 1, -1)
+    out = []
     get = peq.get
     for j, c in enumerate(text, 1):
         eq = get(c, 0)
@@ -63,35 +63,67 @@ def myers(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]
         ph <<= 1
         pv = ((mh << 1) | ~(xv | ph)) & full
         mv = ph & xv & full
-        if score < best:
-            best, end = score, j
-    return (best, end) if end >= 0 else None
+        if score <= most:
+            out.append((score, j))
+    return out
 
 
 class Item:
-    """An item's pieces, and for each the nodes above it up to the whole item: (start, end, budget, masks)."""
+    """An item's pieces, and the tree above them: nodes (start, end, budget, parent, masks), the root last."""
 
     def __init__(self, item_id, text: str):
         self.id, self.text = item_id, text
         n = len(text) // RATE + 1
         cuts = [i * len(text) // n for i in range(n + 1)]
         self.pieces = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.starts, self.above = cuts[:-1], [[] for _ in range(n)]
-
-        def grow(lo: int, hi: int) -> None:
-            if hi - lo > 1 or n == 1:
-                part = text[cuts[lo] : cuts[hi]]
-                node = (cuts[lo], cuts[hi], hi - lo - 1, masks(part))
-                for j in range(lo, hi):
-                    self.above[j].append(node)
+        self.starts, self.above = cuts[:-1], [0] * n
+        self.nodes: list[list] = []
+
+        def grow(lo: int, hi: int) -> int:
+            """The node's number; a child's is less than its parent's."""
+            children = []
             if hi - lo > 1:
                 middle = (lo + hi) // 2
-                grow(lo, middle)
-                grow(middle, hi)
+                children = [grow(a, b) if b - a > 1 else None for a, b in ((lo, middle), (middle, hi))]
+            number = len(self.nodes)
+            self.nodes.append([cuts[lo], cuts[hi], hi - lo - 1, None, masks(text[cuts[lo] : cuts[hi]])])
+            for part, child in zip(((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)), children, strict=False):
+                if child is None:
+                    self.above[part[0]] = number
+                else:
+                    self.nodes[child][3] = number
+            if hi - lo == 1:
+                self.above[lo] = number
+            return number
 
         grow(0, n)
-        for nodes in self.above:
-            nodes.reverse()
+
+    def verify(self, hits: list[tuple[int, int]], text: str) -> tuple[int, int] | None:
+        """The least edits and the first such end, from (piece, place) hits. Windows of a node that overlap are read as one, so a text that repeats itself costs no more than its length for each level."""
+        windows: list[list[tuple[int, int]]] = [[] for _ in self.nodes]
+        for j, begin in hits:
+            s, e, budget, _, _ = self.nodes[self.above[j]]
+            offset = self.starts[j]
+            windows[self.above[j]].append((begin - (offset - s) - budget, begin + (e - offset) + budget))
+        best = None
+        for number, (s, e, budget, parent, peq) in enumerate(self.nodes):
+            right = 0
+            spans: list[list[int]] = []
+            for a, b in sorted(windows[number]):
+                if spans and a <= right:
+                    spans[-1][1] = right = max(right, b)
+                else:
+                    spans.append([a, b])
+                    right = b
+            for a, b in spans:
+                a = max(a, 0)
+                for edits, end in myers(peq, e - s, text[a:b], budget):
+                    if parent is None:
+                        best = min(best, (edits, a + end)) if best else (edits, a + end)
+                    else:
+                        above, below, room, _, _ = self.nodes[parent]
+                        windows[parent].append((a + end - (e - above) - room, a + end + (below - e) + room))
+        return best
 
 
 class Matcher:
@@ -111,28 +143,13 @@ class Matcher:
 
     def find(self, text: str) -> dict[int, tuple[int, int]]:
         """By item number: its least edits in a normalised text, and where the first such match ends."""
-        found: dict[int, tuple[int, int]] = {}
-        if not len(self.machine):
-            return found
-        done: dict[int, int] = {}  # by item, up to where a window has been verified to the root
-        for last, (size, at) in self.machine.iter(text):
-            begin = last + 1 - size
-            for n, j in at:
-                item = self.items[n]
-                offset = item.starts[j]
-                if done.get(n, -1) >= begin + len(item.text) - offset and found.get(n, (9,))[0] == 0:
-                    continue
-                for s, e, budget, peq in item.above[j]:
-                    left = max(0, begin - (offset - s) - budget)
-                    hit = myers(peq, e - s, text[left : begin + (e - offset) + budget], budget)
-                    if hit is None:
-                        break
-                else:
-                    match = (hit[0], left + hit[1])
-                    if n not in found or match < found[n]:
-                        found[n] = match
-                    done[n] = max(done.get(n, -1), match[1])
-        return found
+        hits: dict[int, list[tuple[int, int]]] = {}
+        if len(self.machine):
+            for last, (size, at) in self.machine.iter(text):
+                for n, j in at:
+                    hits.setdefault(n, []).append((j, last + 1 - size))
+        found = {n: self.items[n].verify(at, text) for n, at in hits.items()}
+        return {n: m for n, m in found.items() if m is not None}
 
 
 _made: dict[int, Matcher] = {}
