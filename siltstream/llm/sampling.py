@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,17 @@ def uniform(*parts) -> np.ndarray:
     return ((scatter(*parts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def uniform1(*parts: int) -> float:
+    """uniform() of whole numbers, without arrays."""
+    x, mask = 0, (1 << 64) - 1
+    for p in parts:
+        x = p + x * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        x ^= x >> 31
+    return ((x >> 11) + 0.5) * 2.0**-53
+
+
 class Lattice:
     """The lattices of some distinct units: for each end cell the pieces that end there, with their shares of the forward sum."""
 
@@ -80,6 +92,7 @@ class Lattice:
             cells, self.came, self.piece, logs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         by = np.argsort(cells, kind="stable")
         cells, self.came, self.piece = cells[by], self.came[by], self.piece[by]
+        self.size = cells - self.came  # bytes of each arc's piece
         share = np.exp(logs[by] - total[cells])
         self.log_share = logs[by] - total[cells]
         self.share = share
@@ -163,7 +176,7 @@ class Row:
     def begin(self, k: int) -> None:
         """k: the samples wanted. Of the sets that one sample leaves, only the k + 1 with the largest values can be taken or be the threshold."""
         self.k = k
-        top = -np.log(-np.log(float(uniform(self.key, 0, 0, 1 << 40))))
+        top = -math.log(-math.log(uniform1(self.key, 0, 0, 1 << 40)))
         heapq.heappush(self.agenda, (-top, next(self.tie), None, 0, []))
 
     def push(self, sample: int, value: float, logs: np.ndarray, at: int, gone: float) -> None:
@@ -171,13 +184,23 @@ class Row:
         n = len(logs)
         if at >= n:
             return
-        before = np.concatenate([[0.0], np.cumsum(logs[:-1])])[at:]
-        rest = _rest(logs[at:])
-        if gone:
-            left = 1.0 - gone - np.exp(logs[at])
-            rest[0] = np.log(left) if left > 1e-12 else -np.inf
-        mass = before + rest
-        near = np.flatnonzero(mass > max(float(mass.max()) - 50.0, -1e300))  # all others together are less than rounding
+        start, width = float(logs[:at].sum()), 64
+        while True:
+            part = logs[at : at + width]
+            sums = np.cumsum(part)
+            rest = _rest(part)
+            if gone:
+                left = 1.0 - gone - math.exp(part[0])
+                rest[0] = math.log(left) if left > 1e-12 else -np.inf
+            mass = rest
+            mass[1:] += sums[:-1]
+            mass += start
+            top = float(mass.max())
+            # every set further on has less mass than the units before it leave
+            if at + width >= n or start + sums[-1] < top - 50.0:
+                break
+            width *= 4
+        near = np.flatnonzero(mass > max(top - 50.0, -1e300))  # all others together are less than rounding
         draws = -np.log(uniform(self.key, sample, near + at, (1 << 40) + 1))
         values = -np.logaddexp(-value, np.log(draws) - mass[near])
         keep = np.argsort(-values, kind="stable")[: self.k + 1]
@@ -189,7 +212,7 @@ SAMPLES_MAX = 64
 
 
 def _search(machine: Automaton, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int):
-    """For each text of a chunk: its samples as (ids of pieces, bytes, log probability, perturbed, threshold)."""
+    """For each text of a chunk: its samples as (lattice, arcs, log probability, perturbed, threshold)."""
     start, end, bounds = machine.units(data, offsets)
     _, first, unit = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
     lattice = Lattice(machine, data, start[first], end[first])
@@ -206,7 +229,7 @@ def _search(machine: Automaton, data: np.ndarray, offsets: np.ndarray, keys: np.
                     break
                 arcs, cuts, logs, _, gone = r.done[parent]
                 taken = [w for w in gone.get(at, [])] + [arcs[cuts[at] : cuts[at + 1]].tolist()]
-                numbers = (uniform(r.key, sample, at, (2 << 40) + n) for n in itertools.count())
+                numbers = (uniform1(r.key, sample, at, (2 << 40) + n) for n in itertools.count())
                 other = lattice.draw_other(int(r.unit[at]), taken, numbers)
                 if other is None:  # what was left is less than rounding
                     continue
@@ -236,7 +259,7 @@ def _search(machine: Automaton, data: np.ndarray, offsets: np.ndarray, keys: np.
             r.push(len(r.done) - 1, value, log, max(at, 0), lost)
     for r in rows:
         limit = -r.agenda[0][0] if r.agenda and len(r.done) == k else -np.inf
-        yield [(lattice.piece[arcs], lattice, arcs, float(logs.sum()), value, limit) for arcs, _, logs, value, _ in r.done]
+        yield [(lattice, arcs, float(logs.sum()), value, limit) for arcs, _, logs, value, _ in r.done]
 
 
 class Decoder:
@@ -262,32 +285,30 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, samples: int =
 
     def sampled(batches):
         machine = automaton(name, vocabulary)
-        lengths = np.append(machine.lengths, 0)
-        sizes = np.concatenate([[0], np.cumsum(lengths)])
-        pool = np.frombuffer(b"".join(vocabulary.pieces.values()), np.uint8)
+        speller = Speller(machine, vocabulary)
         for batch in small_batches(batches, CHUNK):
             seeds = np.asarray(batch.column(2)).astype(U64)
             for first, data, offsets in chunks(marked(batch.column(0)), CHUNK):
-                out = {n: [] for n in ("row", "sample", "n", "log", "value", "inclusion", "md5", "ok", "ids")}
+                out = {n: [] for n in ("row", "sample", "log", "value", "inclusion")}
+                chosen, lattice = [], None
                 for i, found in enumerate(_search(machine, data, offsets, seeds[first : first + len(offsets) - 1], samples)):
-                    whole = data[offsets[i] : offsets[i + 1]]
-                    for k, (piece, lattice, arcs, log, value, limit) in enumerate(found):
-                        ids, decoded = spell(machine, piece, whole, lengths, sizes, pool)
-                        out["row"].append(first + i)
+                    for k, (lattice, arcs, log, value, limit) in enumerate(found):
+                        chosen.append(arcs)
+                        out["row"].append(i)
                         out["sample"].append(k)
-                        out["n"].append(len(ids))
                         out["log"].append(log)
                         out["value"].append(value)
-                        out["inclusion"].append(float(-np.expm1(-np.exp(min(log - limit, 700.0)))))
-                        out["md5"].append(hashlib.md5(ids.tobytes()).hexdigest())
-                        out["ok"].append(bool(np.array_equal(decoded, whole)))
-                        if with_ids:
-                            out["ids"].append(ids)
+                        out["inclusion"].append(-math.expm1(-math.exp(min(log - limit, 700.0))))
+                if lattice is None:
+                    continue
+                ids, bounds, out["ok"] = speller.spell(lattice, chosen, data, offsets, np.array(out["row"]))
+                out["n"] = np.diff(bounds)
+                out["md5"] = [hashlib.md5(ids[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                out["row"] = first + np.array(out["row"])
                 row = pa.array(out.pop("row"), pa.int64())
                 columns = [batch.column(1).take(row), pa.array(out["sample"], pa.int32()), pa.array(out["n"], pa.int64()), *(pa.array(out[n], pa.float64()) for n in ("log", "value", "inclusion")), pa.array(out["md5"], pa.string()), pa.array(out["ok"], pa.bool_())]
                 if with_ids:
-                    flat = np.concatenate(out["ids"]) if out["ids"] else np.zeros(0, np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out["n"])]).astype(np.int32)), pa.array(flat)))
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [key, "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_md5", "round_trip", *["ids"] * with_ids]
@@ -295,39 +316,47 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, samples: int =
     return docs.select(F.col(text).cast("string").alias("_text"), F.col(key), row_seed.alias("_seed")).mapInArrow(sampled, fields)
 
 
-def spell(machine: Automaton, piece: np.ndarray, whole: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a segmentation (an unknown character as its bytes), and the bytes that these ids decode to, the first mark still before them."""
-    unknown = piece < 0
-    size = lengths[piece]  # 0 for unknown
-    if unknown.any():
-        # an unknown character's bytes are those that the pieces around it leave
-        heads = np.flatnonzero(unknown)
-        known_before = np.concatenate([[0], np.cumsum(size)])[heads].tolist()
-        size, shift = size.copy(), 0
-        for h, at in zip(heads.tolist(), known_before, strict=True):
-            b = int(whole[at + shift])
-            size[h] = n = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-            shift += n
+class Speller:
+    """Ids of segmentations, and the check that they decode to their texts, for many at once."""
+
+    def __init__(self, machine: Automaton, vocabulary: Vocabulary):
+        self.machine = machine
+        self.at = np.concatenate([[0], np.cumsum(machine.lengths)])
+        self.pool = np.frombuffer(b"".join(vocabulary.pieces.values()), np.uint8)
+        self.byte_of = np.zeros(int(machine.byte_ids.max()) + 1, np.uint8)
+        known = np.flatnonzero(machine.byte_ids >= 0)
+        self.byte_of[machine.byte_ids[known]] = known
+
+    def spell(self, lattice: Lattice, chosen: list[np.ndarray], data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids end to end, their bounds, and whether each segmentation's ids decode to its row's text (the first mark still before it)."""
+        arcs = np.concatenate(chosen)
+        piece, size = lattice.piece[arcs], lattice.size[arcs]
         ends = np.cumsum(size)
-        copies = np.where(unknown, size, 1)
+        n_arcs = np.array([len(c) for c in chosen])
+        arc_bounds = np.concatenate([[0], np.cumsum(n_arcs)])
+        # where each segmentation begins in what follows, and where its text is
+        total = np.concatenate([[0], ends])
+        begin, length = total[arc_bounds[:-1]], np.diff(total[arc_bounds])
+        whole = data[np.repeat(offsets[rows] - begin, length) + np.arange(int(total[-1]))]
+        unknown = piece < 0
+        copies = np.where(unknown, size, 1)  # an unknown character is as many ids as bytes
         where = np.repeat(np.arange(len(piece)), copies)
-        ids = machine.ids[np.maximum(piece, 0)][where]
-        step = np.arange(len(where)) - np.repeat(np.cumsum(copies) - copies, copies)
-        raw = unknown[where]
-        ids[raw] = machine.byte_ids[whole[(ends - size)[where][raw] + step[raw]]]
-        decoded = np.empty(int(ends[-1]), np.uint8)
+        ids = self.machine.ids[np.maximum(piece, 0)][where]
+        raw = np.flatnonzero(unknown[where])
+        step = raw - np.repeat(np.cumsum(copies) - copies, copies)[raw]
+        places = (ends - size)[where[raw]] + step
+        ids[raw] = self.machine.byte_ids[whole[places]]
+        bounds = np.concatenate([[0], np.cumsum(copies)])[arc_bounds]
+        # decode: the bytes of each id, one after another
+        decoded = np.empty(int(total[-1]), np.uint8)
         known = np.flatnonzero(~unknown)
-        n = size[known]
-        total = int(n.sum())
-        inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        decoded[np.repeat((ends - size)[known], n) + inner] = pool[np.repeat(sizes[piece[known]], n) + inner]
-        from_byte = np.full(int(machine.byte_ids.max()) + 1, 0, np.uint8)
-        from_byte[machine.byte_ids[machine.byte_ids >= 0]] = np.flatnonzero(machine.byte_ids >= 0)
-        decoded[(ends - size)[where][raw] + step[raw]] = from_byte[ids[raw]]
-        return ids.astype(np.int32), decoded
-    total = int(size.sum())
-    inner = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-    return machine.ids[piece].astype(np.int32), pool[np.repeat(sizes[piece], size) + inner]
+        n = self.machine.lengths[piece[known]]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        decoded[np.repeat((ends - size)[known], n) + inner] = self.pool[np.repeat(self.at[piece[known]], n) + inner]
+        decoded[places] = self.byte_of[ids[raw]]
+        wrong = np.concatenate([[0], np.cumsum(decoded != whole)])
+        same = (wrong[begin + length] == wrong[begin]) & (length == np.diff(offsets)[rows])
+        return ids.astype(np.int32), bounds, same
 
 
 def op9_segmentation_sampling(spark, sf_dir: str) -> DataFrame:

@@ -157,17 +157,18 @@ def every(text):
 
 def drawn(text, keys, k):
     machine = Automaton(SMALL)
-    lengths = np.append(machine.lengths, 0)
-    sizes, pool = np.concatenate([[0], np.cumsum(lengths)]), np.frombuffer(b"".join(SMALL.pieces.values()), np.uint8)
+    speller = sampling.Speller(machine, SMALL)
     whole = np.frombuffer(text.encode(), np.uint8)
     data, offsets = np.tile(whole, len(keys)), np.arange(len(keys) + 1) * len(whole)
-    for found in sampling._search(machine, data, offsets, np.asarray(keys, np.uint64), k):
-        out = []
-        for piece, _, _, log, value, limit in found:
-            ids, decoded = sampling.spell(machine, piece, whole, lengths, sizes, pool)
-            assert decoded.tobytes() == text.encode()
-            out.append((tuple(ids.tolist()), log, value, limit))
-        yield out
+    for row, found in enumerate(sampling._search(machine, data, offsets, np.asarray(keys, np.uint64), k)):
+        ids, bounds, ok = speller.spell(found[0][0], [f[1] for f in found], data, offsets, np.full(len(found), row))
+        assert ok.all()
+        yield [(tuple(ids[a:b].tolist()), log, value, limit) for a, b, (_, _, log, value, limit) in zip(bounds[:-1], bounds[1:], found, strict=True)]
+
+
+def test_numbers_are_the_same_without_arrays():
+    for parts in ((1, 2, 3), (2**63 + 5, 0, 2**41)):
+        assert sampling.uniform1(*parts) == float(sampling.uniform(*parts))
 
 
 def test_samples_are_drawn_without_replacement_in_proportion():
