@@ -18,10 +18,12 @@ from siltstream.llm.tokencount import PIECES
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail the base rule or meet a learned rule go; so do null and empty texts, which have no words."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_key"), F.col("text").alias("_text"))
-    counted = through_table(rules.with_statistics(packed, "_text").drop("_text"), "quality")
+    picked = rules.sample_labels(labels).select(F.col("_k").alias("_key")).distinct()
+    sample = docs.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text")).join(F.broadcast(picked), "_key")  # rules.LABELLED keys at most
+    counted = through_table(rules.with_statistics(sample, "_text").drop("_text"), "quality")
     found = rules.fit_rules(counted, labels.select(F.col("doc_id").alias("_key"), "quality"), key="_key")
-    return counted.where(~rules.failed_base() & rules.verdict(found).isNull()).select("_doc.*")
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
+    return rules.where_kept(rules.with_statistics(packed, "_text").drop("_text"), found).select("_doc.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

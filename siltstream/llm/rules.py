@@ -180,9 +180,19 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
+def sample_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality", most: int = LABELLED) -> DataFrame:
+    """_k and _y of at most `most` labelled rows, those with the least hashes of their keys."""
+    return labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y is not null").orderBy(F.xxhash64(F.lit(1), "_k"), "_k", "_y").limit(most)
+
+
+def where_kept(counted: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of with_statistics that neither fail the base rule nor meet a learned one. The row number keeps Spark from moving the test below the statistics, where it would work them out again for every condition."""
+    return counted.withColumn("_row", F.monotonically_increasing_id()).where((F.col("_row") >= 0) & ~failed_base() & verdict(rules).isNull()).drop("_row")
+
+
 def fit_rules(counted: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", most: int = LABELLED) -> list[Rule]:
-    """Learns which rows have label 0. counted: with_statistics; labels: key and label."""
-    picked = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y is not null").orderBy(F.xxhash64(F.lit(1), "_k"), "_k", "_y").limit(most)
+    """Learns which rows have label 0. counted: with_statistics, written; it may hold the rows of sample_labels alone. labels: key and label."""
+    picked = sample_labels(labels, key, label, most)
     features = [F.expr(e).cast("double").alias(f"f{i}") for i, e in enumerate(FEATURES.values())]
     joined = counted.where(~failed_base()).join(F.broadcast(picked), F.col(key) == F.col("_k"))  # `most` rows of two numbers at most
     rows = joined.select("_k", "_y", F.pmod(F.xxhash64(F.lit(2), "_k"), F.lit(3)).alias("fold"), *features).orderBy("_k", "_y").limit(2 * most).collect()
