@@ -14,8 +14,9 @@ all distances are exactly 1, so every window would hold everything. So there are
    inequality, only sets whose distances to the pivot differ by at most the bound can be
    linked; Voronoi regions of further pivots, with boundary sets replicated to every region whose
    pivot is at most twice the bound farther than the nearest, are joined recursively. A small region
-   is joined in one task. A large one is first parted by rings around its pivot, by joins;
-   one that rings can't part is joined in blocks, a task for each two. Nothing is left out.
+   is joined in one task. A large one is thinned by joins with its pivot's set: what is linked to
+   it leaves, but for those within the window of the others; one that no pivot thins further is
+   joined in blocks, a task for each two. Nothing is left out.
 
 Two sets that are both linked to a pivot are in one component; no more is asked about them. So a group of
 thousands of copies costs thousands of distances, not millions.
@@ -44,10 +45,11 @@ SIZE, PERCENT = 4, 85
 #: Distinct shingles that a map task holds before it sends their counts off.
 HELD = 1_500_000
 #: A region of up to so many documents and bytes of sets is joined by one task.
-LOCAL, LOCAL_BYTES = 400, 8 << 20
+LOCAL, LOCAL_BYTES = 1000, 16 << 20
 #: So many documents are compared pair by pair.
 FEW = 24
-ROUNDS = 6
+#: A larger region is thinned by pivots, so many times at most, and again only if no more than this share of it was left.
+ROUNDS, SHRUNK = 6, 0.7
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -382,17 +384,18 @@ def region_links(candidates: DataFrame, percent: int) -> DataFrame:
             links.append(_join_blocks(rows, sets, percent))
             break
         pivots = large.select("region", F.col("least").alias("key")).join(sets, "key").select("region", F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set"))
-        placed = _to_pivot(rows.select("region", "key", "least").join(sets, "key").join(pivots, "region").select("region", "key", "least", "n", "pivot_n", "set", "pivot_set"))
+        placed = _to_pivot(rows.select("region", "key", "least", "count", "bytes").join(sets, "key").join(pivots, "region").select("region", "key", "least", "count", "bytes", "n", "pivot_n", "set", "pivot_set"))
         union = F.col("n") + F.col("pivot_n") - F.col("both")
-        placed = through_table(placed.select("region", "key", "least", (1 - F.col("both") / union).alias("d"), (F.col("both") * 100 >= union * percent).alias("near")), "placed")
+        placed = through_table(placed.select("region", "key", "least", "count", "bytes", (1 - F.col("both") / union).alias("d"), (F.col("both") * 100 >= union * percent).alias("near")), "placed")
         links.append(placed.where("near and key <> least").select(F.col("key").alias("x"), F.col("least").alias("y")))
-        # rings around the pivot: a set that isn't linked to it meets those of its ring and of the ring below; those linked to it, as far as the first ring's members reach
-        ring = F.floor(F.col("d") / F.lit(bound))
-        unlinked = placed.where("not near").withColumn("ring", F.greatest(ring, F.lit(1)))
-        inner_edge = unlinked.groupBy("region").agg(F.min("d").alias("edge"))
-        boundary = placed.where("near").join(inner_edge, "region").where(F.col("d") >= F.col("edge") - F.lit(bound + EPSILON)).select("region", "key", F.lit(1).cast("long").alias("ring"))
-        parts = unlinked.select("region", "key", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring")).unionByName(boundary)
-        members = through_table(parts.select(F.xxhash64("region", "ring", F.lit(turn)).alias("region"), "key").distinct(), "rings")
+        # what is linked to the pivot leaves, but for the window that the others reach
+        edge = placed.where("not near").groupBy("region").agg(F.min("d").alias("edge"))
+        left = placed.join(edge, "region").where(~F.col("near") | (F.col("d") >= F.col("edge") - F.lit(bound + EPSILON)))
+        left = through_table(left.select("region", "key", "count", "bytes"), "left")
+        thinned = left.groupBy("region", F.col("count").alias("_count")).agg(F.count(F.lit(1)).alias("_left")).select("region", (F.col("_left") <= F.col("_count") * SHRUNK).alias("thinned"))
+        left = left.join(thinned, "region")
+        links.append(_join_blocks(left.where("not thinned"), sets, percent))
+        members = through_table(left.where("thinned").select("region", "key"), "thinned")
         turn += 1
     out = links[0]
     for more in links[1:]:
@@ -401,8 +404,8 @@ def region_links(candidates: DataFrame, percent: int) -> DataFrame:
 
 
 def _join_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Regions that rings don't part, in blocks of about half a task's room; every two blocks meet in a task of their own."""
-    blocks = F.ceil(F.greatest(F.col("count") / F.lit(LOCAL / 2), F.col("bytes") / F.lit(LOCAL_BYTES / 2))).cast("int")
+    """Regions that pivots don't thin, in blocks of a quarter of a task's room; every two blocks meet in a task of their own."""
+    blocks = F.ceil(F.greatest(F.col("count") / F.lit(LOCAL / 4), F.col("bytes") / F.lit(LOCAL_BYTES / 4))).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = rows.select("region", "key", "block", F.explode(other).alias("o"))

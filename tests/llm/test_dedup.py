@@ -121,12 +121,12 @@ def similar_documents(seed, n):
     return [*docs, (n, None), (n + 1, ""), (n + 2, " \n")]
 
 
-@pytest.mark.parametrize(("local", "rounds", "size", "percent"), [(400, 6, 4, 85), (20, 2, 4, 85), (15, 0, 5, 80)])
+@pytest.mark.parametrize(("local", "rounds", "size", "percent"), [(1000, 6, 4, 85), (20, 6, 4, 85), (15, 0, 5, 80)])
 def test_components_are_exact(spark, monkeypatch, local, rounds, size, percent):
-    """Also where regions are parted by rings, and joined in blocks."""
+    """Also where regions are thinned by pivots, and joined in blocks."""
     monkeypatch.setattr(jaccard, "LOCAL", local)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
-    docs = similar_documents(local, 400)
+    docs = similar_documents(local % 97, 400)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.group_documents(df, size, percent).collect()}
     assert got == plain_components(docs, size, percent)
