@@ -34,10 +34,10 @@ CRC8_MLP = 0x63
 
 
 def crc16_after_shift(data: bytes, polynomial: int = CRC16_MLP) -> int:
-    """CRC-16 of a convention that takes the last two bytes in after the register, not through it."""
+    """CRC-16 of the convention that adds a byte to the register after the shift, not before: the last two bytes are never divided."""
     if len(data) < 2:
-        return int.from_bytes(data, "little")
-    return crc(data[:-2], polynomial, 16) ^ int.from_bytes(data[-2:], "little")
+        return int.from_bytes(data, "big")
+    return crc(data[:-2], polynomial, 16) ^ int.from_bytes(data[-2:], "big")
 
 
 def crc_column(data: Column, polynomial: int, bits: int, start: int = 0) -> Column:

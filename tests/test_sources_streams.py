@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstream.functions import scalars
+from siltstream.functions import dsp, scalars
 from siltstream.operators import clocks, compare, findings, islands, joins, merge, timeline
-from siltstream.sources import media, reports
+from siltstream.sources import lossless, media, reports
 from siltstream.streaming import streams
 
 
@@ -99,6 +99,75 @@ def test_pcm_and_containers(spark, tmp_path):
     assert media.wave_header(2, 48_000, 16, None)[4:8] == b"\xff" * 4
 
 
+def access_unit(r, timing, substreams, major):
+    """A well-formed unit: header, perhaps a major sync, directory, body."""
+    body = bytes(r.randrange(128) for _ in range(2 * r.randrange(4, 30)))
+    sync = b""
+    if major:
+        info = bytearray(lossless.SYNCS[0] + bytes(r.randrange(100) for _ in range(22)))
+        info[8:10], info[16], info[25] = b"\xb7\x52", substreams << 4, 0
+        sync = bytes(info) + scalars.crc16_after_shift(bytes(info)).to_bytes(2, "big")
+    directory = b"".join((k + 1).to_bytes(2, "big") for k in range(substreams))
+    words = (4 + len(sync) + len(directory) + len(body)) // 2
+    head = bytearray([words >> 8, words & 255, timing >> 8, timing & 255])
+    x = 0
+    for b in bytes(head) + directory:
+        x ^= b
+    head[0] |= ((x ^ x >> 4) & 15 ^ 15) << 4
+    return bytes(head) + sync + directory + body
+
+
+def test_access_units_are_framed_and_resynced(spark):
+    r = random.Random(6)
+    units = [access_unit(r, i * 40, 2, i % 8 == 0) for i in range(32)]
+    data = b"junk!" + b"".join(units[:5]) + bytes([units[5][0], units[5][1], units[5][2], units[5][3] ^ 1]) + units[5][4:] + b"".join(units[6:])
+    got = list(lossless.units(io.BytesIO(data)))
+    kept = units[:5] + units[8:]  # the sixth's parity fails; the next major sync is the ninth's
+    assert [u.data for u in got if not u.gap_only] == kept
+    first, ninth = got[0], next(u for u in got if u.data == units[8])
+    assert first.gap == 5 and first.major_sync and first.timing == 0
+    assert ninth.resynced and ninth.gap == sum(map(len, units[5:8]))
+    for block in (1, 64, 5000):
+        assert [(u.offset, u.data, u.gap) for u in lossless.units(io.BytesIO(data), block)] == [(u.offset, u.data, u.gap) for u in got]
+    broken = bytearray(units[0] + units[1])
+    broken[4 + 12] ^= 1  # the sync's checksum fails, and no other follows
+    (only,) = lossless.units(io.BytesIO(bytes(broken)))
+    assert only.gap_only and only.gap == len(broken) and only.crc_failures == 1
+    files = spark.createDataFrame([("x", data), ("y", b"")], "path string, content binary")
+    table = lossless.units_of(files)
+    assert table.where("kind = 'unit'").count() == len(kept)
+    spaced = clocks.unwrap(table.where("kind = 'unit'"), ["path"], ["unit"], "timing")
+    assert spaced.agg(F.max("unwrapped")).first()[0] == 31 * 40
+
+
+def test_signal_functions():
+    g = np.random.default_rng(2)
+    x = g.integers(-1000, 1000, 300)
+    coefficients = [5, -3, 1]
+    residual = dsp.predict_residual(x, coefficients, 2)
+    assert (dsp.predict_restore(residual, coefficients, 2) == x).all()
+    n = 64
+    window = np.sin(np.pi * (np.arange(2 * n) + 0.5) / (2 * n))
+    signal = g.normal(size=n * 10)
+    out = dsp.overlap_add([dsp.imdct(dsp.mdct(signal[a : a + 2 * n] * window)) * window for a in range(0, len(signal) - n, n)])
+    assert np.allclose(out[n:-n], signal[n : len(out) - n])
+    noise = g.normal(size=500)
+    assert dsp.best_lag(noise[20:], noise, 40) == 20
+    matrix = dsp.interpolated_matrices(np.zeros((2, 3)), np.ones((2, 3)), 4)
+    assert np.allclose(matrix[:, 0, 0], [0.25, 0.5, 0.75, 1.0])
+    mixed = dsp.mix(np.ones((4, 3, 5)), matrix)
+    assert mixed.shape == (4, 2, 5) and np.allclose(mixed[-1], 3)
+    assert (dsp.band_map(np.array([0, 2, 5]), 8) == [0, 0, 1, 1, 1, 2, 2, 2]).all()
+    assert dsp.rematrix(np.array([[100, -7], [3, 9]]), np.array([[1 << 14, 1 << 13], [0, 1 << 14]]), 14).tolist() == [[96, -7], [7, 9]]
+
+
+def test_signals_by_stream(spark):
+    rows = [(s, t, [float(t == 0)] * 4) for s in (1, 2) for t in range(3)]
+    df = spark.createDataFrame(rows, "s long, t long, c array<double>")
+    got = dsp.transform_streams(df, "s", "t", "c")
+    assert got.groupBy("s").agg(F.sum(F.size("samples"))).orderBy("s").collect() == [(1, 12), (2, 12)]
+
+
 def test_reports(spark, tmp_path):
     (tmp_path / "m.txt").write_text("- ID: 1\n  pos: 0\n  x: 1.5\n- ID: 2\n  pos: 0\n- ID: 1\n  pos: 5\n")
     got = reports.read_key_values(spark, str(tmp_path / "m.txt"))
@@ -118,7 +187,7 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(scalars.crc_column(F.col("b"), 0x1021, 16)).collect()] == [0x31C3, 0, None]
     assert [r[0] for r in df.select(scalars.parity_column(F.col("b"))).collect()] == [0x31, 0, None]
     m = b"some bytes"
-    assert scalars.crc16_after_shift(m + struct.pack("<H", scalars.crc(m, scalars.CRC16_MLP, 16))) == 0
+    assert scalars.crc16_after_shift(m + struct.pack(">H", scalars.crc(m, scalars.CRC16_MLP, 16))) == 0
     row = spark.range(1).select(
         scalars.timecode_samples(F.lit("01:00:02.5"), 48_000).alias("a"), scalars.timecode_samples(F.lit("1:2"), 48_000).alias("b"), scalars.timecode_text(F.lit(172_920_000), 48_000).alias("c"), scalars.duration_text(F.lit(3723.4567)).alias("d"),
         scalars.hex_dump(F.lit(b"\x0b\x77")).alias("e"), scalars.decibels(F.lit(0.0)).alias("f"), scalars.gain(F.lit(-20.0)).alias("g"), scalars.nibble_parity(F.lit(0xA5)).alias("h"), scalars.average_bit_rate(F.lit(1000), F.lit(0.0)).alias("i"), scalars.wrapped_difference(F.lit(5), F.lit(65_530)).alias("j"), clocks.ceil_div(F.lit(7), F.lit(2)).alias("k"), scalars.peak_bit_rate(F.lit(3), F.lit(48_000)).alias("l"),
