@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import census, clocks, compare, findings, islands, joins, merge, splits, timeline
+from ..streaming import run, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -587,3 +588,38 @@ c AS (SELECT a.field AS field_a, b.field AS field_b, a.value AS va, b.value AS v
 SELECT field_a, field_b, CAST(sum(least(yes, no)) AS BIGINT) AS overlap FROM c GROUP BY 1, 2""")
 def split_pairs(spark, d):
     return splits.pair_splits(split_rows(spark, d), F.col("y"), FIELDS)
+
+
+# -- streams: the table is read as a stream of files, and all that there is now is run
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream reads folders
+
+
+@query(f"""WITH {E} SELECT event_type, count(*) AS count, CAST(sum(cents) AS BIGINT) AS magnitude FROM e GROUP BY event_type""")
+def stream_tally(spark, d):
+    rows = stream_of(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return run.available_now(streams.running_tally(rows, "event_type", F.col("cents")), "tally", "complete")
+
+
+@query(CONFIG_LAG + " SELECT user_id, event_id, event_type, pt AS previous_event_type FROM p WHERE k = 1 OR event_type IS DISTINCT FROM pt")
+def stream_changes(spark, d):
+    return run.available_now(streams.change_stream(stream_of(spark, d, "events"), "user_id", "event_id", "event_type"), "changes")
+
+
+@query("""WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS all_g FROM conversations)
+SELECT conv_id, CAST(g AS BIGINT) AS "group", min(turn) AS first, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS kinds FROM g WHERE g > 0 AND g < all_g GROUP BY 1, 2""")
+def stream_groups(spark, d):
+    return run.available_now(streams.group_stream(stream_of(spark, d, "conversations"), "conv_id", "turn", "role", "user"), "groups")
+
+
+@query(UNTIL + """ SELECT user_id, min(event_id) AS first_unit, greatest(max(event_id), any_value(nx) - 1) AS last_unit, any_value(nx) AS entry_unit, CAST(1 AS BIGINT) AS parts
+ FROM g WHERE f GROUP BY user_id, g HAVING any_value(nx) IS NOT NULL""")
+def stream_regions(spark, d):
+    masks = stream_of(spark, d, "events").select("user_id", "event_id", F.when(F.expr(ERRORS), 1).otherwise(0).alias("damaged"), F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("restarted"))
+    return run.available_now(streams.region_stream(masks, "user_id", "event_id", "damaged", "restarted"), "regions")
