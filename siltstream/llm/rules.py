@@ -31,7 +31,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with BASE and the further counts that rules may use (n_upper, n_marks, n_digits, n_lines, n_chars), all long. Write the result before filtering on it (as judge does): Spark would move the filter, and with it the arrays, below."""
+    """docs with BASE and the further counts that rules may use (n_upper, n_marks, n_digits, n_lines, n_chars, n_echoes: words equal to the word before, n_distinct_words), all long. Write the result before filtering on it (as judge does): Spark would move the filter, and with it the arrays, below."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = F.filter(F.split(F.col("_t"), SEPARATORS), lambda w: w != "")
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.trim(F.translate(x, "\t\v\f\r", "    ")) != "")
@@ -50,7 +50,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length("_t").cast("long").alias("n_chars"),
     )
     at = F.when(F.size("_h") >= WINDOW, F.sequence(F.lit(0), F.size("_h") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    step3 = step2.withColumn("_v", F.transform(at, lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(WINDOW))))).drop("_h")
+    step3 = step2.withColumn("_v", F.transform(at, lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(WINDOW)))))
+    step3 = step3.withColumn("n_echoes", F.size(F.filter("_h", lambda h, i: h.eqNullSafe(F.get("_h", i - 1)))).cast("long")).withColumn("n_distinct_words", F.size(F.array_distinct("_h")).cast("long")).drop("_h")
     # the windows in order of their hashes; those beside an equal one occur twice or more
     step4 = step3.withColumn("_s", F.when(F.size("_v") == F.size(F.array_distinct("_v")), F.array().cast("array<struct<v:bigint,i:int>>")).otherwise(F.sort_array(F.transform("_v", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))))
     again = F.filter("_s", lambda s, k: s["v"].eqNullSafe(F.get("_s", k - 1)["v"]) | s["v"].eqNullSafe(F.get("_s", k + 1)["v"]))
@@ -71,6 +72,8 @@ FEATURES = {
     "digits per character": "n_digits / greatest(word_chars, 1)",
     "repeated lines per line": "n_dup_lines / greatest(n_lines, 1)",
     "repeated words per word": "n_repeat_words / greatest(n_words, 1)",
+    "echoed words per word": "n_echoes / greatest(n_words, 1)",
+    "distinct words per word": "n_distinct_words / greatest(n_words, 1)",
     "characters per word": "word_chars / greatest(n_words, 1)",
     "words per line": "n_words / greatest(n_lines, 1)",
     "words": "cast(n_words as double)",
