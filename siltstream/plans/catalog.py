@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import census, clocks, compare, findings, islands, joins, merge, splits, timeline
+from ..operators import census, clocks, compare, findings, islands, joins, merge, selection, splits, timeline
 from ..streaming import run, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -590,6 +590,58 @@ def split_pairs(spark, d):
     return splits.pair_splits(split_rows(spark, d), F.col("y"), FIELDS)
 
 
+# -- selection
+
+
+@query("""WITH b AS (SELECT user_id, min(event_id) AS b FROM events WHERE event_type = 'signup' AND event_id + 1 > 300.5 GROUP BY 1) SELECT user_id, event_id FROM events JOIN b USING (user_id) WHERE event_id >= b""")
+def start_at_sync(spark, d):
+    return selection.from_sync(events(spark, d), ["user_id"], "event_id", F.expr("event_type = 'signup'"), F.lit(300.5)).select("user_id", "event_id")
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_type = 'click' AND CAST(user_id AS VARCHAR) = '7'")
+def clause_filter(spark, d):
+    return selection.clauses(events(spark, d), ["event_type=click", "user_id=7"]).select("event_id", "event_type", "user_id")
+
+
+@query(f"""WITH {SEV} SELECT event_id FROM events JOIN s USING (event_type) WHERE severity IN ('warning', 'error', 'fatal')""")
+def severity_filter(spark, d):
+    return selection.at_least(findings.with_catalog(events(spark, d), severities(spark), "event_type"), "severity", "warning").select("event_id")
+
+
+@query(f"""WITH {E}, n AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 40 ELSE 0 END AS s, 100 + cents % 7 AS n FROM e)
+SELECT event_id, CAST(sum(s + n) OVER w - n AS BIGINT) AS begins, CAST(sum(s + n) OVER w AS BIGINT) AS ends FROM n WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def output_position(spark, d):
+    silence = F.when(F.expr(ERRORS), 40).otherwise(0)
+    return selection.output_positions(events(spark, d), ["user_id"], ["event_id"], silence, 100 + F.col("cents") % 7).select("event_id", "begins", "ends")
+
+
+@query(f"""WITH {E} SELECT event_id, round(avg(CASE WHEN event_type <> 'error' THEN cents END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS average FROM e""")
+def clean_average(spark, d):
+    out = selection.clean_average(events(spark, d), ["user_id"], ["event_id"], F.expr("event_type <> 'error'"), F.col("cents"))
+    return out.select("event_id", F.round("average", 6).alias("average"))
+
+
+@query("SELECT CASE WHEN a IS NULL THEN b ELSE a END AS o_custkey, CASE WHEN b IS NULL THEN 'a' ELSE 'b' END AS side FROM (SELECT DISTINCT o_custkey AS a FROM orders WHERE o_orderkey % 3 = 0) FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders WHERE o_orderkey % 3 = 1) ON a = b WHERE a IS NULL OR b IS NULL")
+def set_difference(spark, d):
+    orders = table(spark, d, "orders")
+    return selection.file_set_diff(orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 3 = 1"), "o_custkey")
+
+
+@query("""WITH x AS (SELECT user_id % 3 AS t, event_id // 10 AS p, value AS v FROM events WHERE event_id % 2 = 0), y AS (SELECT user_id % 3 AS t, event_id // 10 AS p, value AS v FROM events WHERE event_id % 2 = 1)
+SELECT x.t AS track_a, y.t AS track_b, round(sqrt(avg((x.v - y.v) * (x.v - y.v))), 6) AS rms FROM x JOIN y USING (p) GROUP BY 1, 2""")
+def distance_table(spark, d):
+    rows = events(spark, d).select("event_id", (F.col("user_id") % 3).alias("t"), F.floor(F.col("event_id") / 10).alias("p"), "value")
+    return selection.distance_table(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "p", "t", "value").withColumn("rms", F.round("rms", 6))
+
+
+@query(f"""WITH {E}, d AS (SELECT user_id, event_id, abs(cents - (cents // 50) * 50) AS d FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM d)
+SELECT user_id, max(n) AS n, max(d) AS max_loss, round(avg(d), 6) AS mean_loss, min(CASE WHEN k >= ceil(n * 95 / 100) THEN d END) AS p95, count(*) FILTER (d > 30) AS over FROM k GROUP BY 1""")
+def trajectory_loss(spark, d):
+    e = events(spark, d)
+    out = selection.trajectory_loss(e, e.withColumn("cents", F.floor(F.col("cents") / 50) * 50), "user_id", "cents", "event_id", 30)
+    return out.withColumn("mean_loss", F.round("mean_loss", 6))
+
+
 # -- streams: the table is read as a stream of files, and all that there is now is run
 
 

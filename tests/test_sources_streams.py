@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstream.functions import dsp, scalars
-from siltstream.operators import clocks, compare, findings, islands, joins, merge, timeline
+from siltstream.operators import clocks, compare, findings, islands, joins, merge, selection, timeline
 from siltstream.sources import lossless, media, reports
 from siltstream.streaming import streams
 
@@ -206,6 +206,17 @@ def test_catalog_and_counts(spark):
     assert findings.exemplars(some, "rule", ["at"], 0).count() == 7 and findings.exemplars(some, "rule", ["at"], 3).count() == 3
 
 
+def test_greedy_pairs_and_titles(spark):
+    rows = [(1, "a", "x", 0.9), (1, "a", "y", 0.8), (1, "b", "x", 0.85), (1, "b", "y", 0.1), (2, "a", "x", 0.5), (2, "b", "x", 0.5)]
+    got = selection.greedy_pairs(spark.createDataFrame(rows, "s int, l string, r string, v double"), "s", "l", "r", "v")
+    assert {tuple(r)[:3] for r in got.collect()} == {(1, "a", "x"), (1, "b", "y"), (2, "a", "x")}
+    names = ["/m/Some.Title.1999.rest.mkv", "2001 A Title (1968).mkv", "No year.ec3", "1984.mkv"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(*selection.title_and_year(F.col("n")))
+    assert [tuple(r) for r in df.collect()] == [("Some Title", 1999), ("2001 A Title", 1968), ("No year", None), ("1984", None)]
+    with pytest.raises(ValueError):
+        selection.clauses(df, ["nothing"])
+
+
 def test_sequences_wrap(spark):
     rows = spark.createDataFrame([(i, n) for i, n in enumerate([5, 6, 1023, 1, 2, 0, 1, 3])], "at int, n int").withColumn("s", F.lit(1))
     got = clocks.sequence_gaps(rows, ["s"], ["at"], "n", wrap_after=1023).orderBy("at").collect()
