@@ -15,7 +15,8 @@ import uuid
 
 import numpy as np
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -52,8 +53,13 @@ def _local(uri: str) -> str | None:
 
 
 def shard_starts(shards: int) -> np.ndarray:
-    """The least key of each shard."""
-    return np.array([-(-(s << 64) // shards) for s in range(shards)], U64)
+    """The least key of each shard; a key's upper 32 bits tell its shard, so that Spark can work it out (shard_column) without unsigned 64-bit numbers."""
+    return np.array([-(-(s << 32) // shards) << 32 for s in range(shards)], U64)
+
+
+def shard_column(key: Column, shards: int) -> Column:
+    """The shard of a key that Spark holds as a signed number."""
+    return F.floor(F.shiftrightunsigned(key, 32) * F.lit(shards) / F.lit(float(1 << 32))).cast("int")
 
 
 def pack(*arrays: np.ndarray) -> bytes:

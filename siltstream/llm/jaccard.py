@@ -108,10 +108,6 @@ class Copies:
         return found[back] & (other[back] == b) & (least[back] != keys)
 
 
-def _shard_of(column, shards: int):
-    return F.floor(F.shiftrightunsigned(column, 32) * F.lit(shards) / F.lit(float(1 << 32))).cast("int")
-
-
 def _store_copies(table: DataFrame) -> Copies:
     """Writes the classes of two rows or more."""
     spark = table.sparkSession

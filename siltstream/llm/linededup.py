@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, mix64, powers, sequence_hashes, sequence_sums
-from ._shared import HashArrays, parts_for, shared_folder, through_table, write_shard
+from ._shared import HashArrays, parts_for, shard_column, shared_folder, through_table, write_shard
 
 MIN_WORDS, NEAR_WORDS = 5, 10
 _LENGTH = U64(0x632BE59BD9B4E019)
@@ -164,8 +164,6 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     chosen = halves.join(shared, "half", "left_semi").select("line").distinct().join(firsts.select("line", "first"), "line")
 
     uri, shards = shared_folder(spark, "chosen-lines"), max(2, parts_for(spark))
-    shard = F.floor((F.shiftrightunsigned("line", 32) * F.lit(shards)) / F.lit(float(1 << 32))).cast("int")
-
     def store(group, table):
         keys = np.asarray(table["line"]).view(U64)
         order = np.argsort(keys)
@@ -173,7 +171,7 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         write_shard(uri, group[0].as_py(), key=keys[order], place=places[order])
         return pa.table({"n": pa.array([len(keys)], pa.int64())})
 
-    chosen.select(shard.alias("shard"), "line", "first.row", "first.number").groupBy("shard").applyInArrow(store, "n long").agg(F.sum("n")).collect()
+    chosen.select(shard_column(F.col("line"), shards).alias("shard"), "line", "first.row", "first.number").groupBy("shard").applyInArrow(store, "n long").agg(F.sum("n")).collect()
     variants = through_table(_variants(docs, uri, shards), "variants")
     own = variants.where("slot = -1").select("line", place.alias("at"), "words")
     less = variants.where("slot >= 0").select("variant", "slot", "line", place.alias("at"))

@@ -39,7 +39,7 @@ from ._bytes import U64, chunks, mix64, small_batches, span_hashes
 from ._pieces import Automaton, Vocabulary, automaton, marked
 from .tokencount import PIECES
 
-SAMPLES, SEED, CHUNK = 2, 7, 1 << 20
+SAMPLES, SEED, CHUNK = 2, 7, 2 << 20
 
 
 def scatter(*parts) -> np.ndarray:

@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from common import empty_documents, lower_words, odd_documents
 
 from siltstream.llm import lm
 from siltstream.llm._bytes import Words, chunks, mix64, unmix64
-from siltstream.llm._shared import by_shard, pack, unpack
+from siltstream.llm._shared import by_shard, pack, shard_column, shard_starts, unpack
 
 #: No text has these words.
 BEGIN, END = ("begin",), ("end",)
@@ -76,6 +77,13 @@ def test_odd_and_empty_tables(spark):
     assert lm.score_documents(empty_documents(spark)).count() == 0
 
 
+def test_spark_and_numpy_agree_on_shards(spark):
+    edges = np.concatenate([shard_starts(49), shard_starts(49)[1:] - np.uint64(1), np.array([2**64 - 1], np.uint64)])
+    df = spark.createDataFrame([(int(x),) for x in edges.view(np.int64)], "k long")
+    got = [r[0] for r in df.select(shard_column(F.col("k"), 49)).collect()]
+    assert got == (np.searchsorted(shard_starts(49), edges, "right") - 1).tolist()
+
+
 def test_bytes_and_packing():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
