@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import remaining
+from ..operators.timeline import delta_encode
 
 TRACE_SCHEMA = ", ".join(["unit long", "offset long", "bytes long", "input_timing int", "major_sync int", *(f"{c}{k} int" for c in ("dir", "ss") for k in range(4)), "extra int", *(f"out{k} int" for k in range(4))])
 
@@ -57,3 +58,16 @@ def collect_resumed(todo: DataFrame, path: str, keys: list[str], work) -> int:
 def to_json_report(df: DataFrame, column: str = "report") -> DataFrame:
     """Each row as one JSON text, nulls left out."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(column))
+
+
+def key_value_lines(events: DataFrame, element: str, order: list[str], fields: list[str]) -> DataFrame:
+    """Events as the text that read_key_values reads: a row an event (order, lines), with the fields that changed since the element's event before."""
+    sparse = delta_encode(events.select(element, *order, *fields), [element], order, fields)
+    lines = [F.concat(F.lit("- ID: "), F.col(element).cast("string"))]
+    lines += [F.concat(F.lit(f"  {f}: "), F.col(f).cast("string")) for f in fields]
+    return sparse.select(*order, F.array_join(F.array_compact(F.array(*lines)), "\n").alias("lines"))
+
+
+def write_key_values(events: DataFrame, element: str, order: list[str], fields: list[str], path: str) -> None:
+    """key_value_lines as text files, sorted over all of them by range."""
+    key_value_lines(events, element, order, fields).orderBy(*order).select("lines").write.text(path)

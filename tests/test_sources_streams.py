@@ -74,6 +74,19 @@ def test_frame_source(spark, tmp_path):
     assert grouped.agg(F.max("group")).first()[0] == 5
 
 
+def test_checksums_are_repaired(spark):
+    r = random.Random(8)
+    frames = [frame(r, k % 2 == 0) for k in range(6)]
+    for f in frames:
+        fixed = media.repaired(f)
+        assert media.checksums_hold(fixed) == (True, True) and media.repaired(fixed) == fixed
+        changed = [k for k, (a, b) in enumerate(zip(f, fixed, strict=True)) if a != b]
+        assert set(changed) <= {2, 3, len(f) - 2, len(f) - 1}
+    df = spark.createDataFrame([(f,) for f in [*frames, b"none", None, media.repaired(frames[0])]], "bytes binary")
+    got = media.repaired_frames(df).collect()
+    assert [x.changed for x in got[6:]] == [False, False, False] and all(media.checksums_hold(bytes(x.bytes))[1] for x in got[:6])
+
+
 def test_pcm_and_containers(spark, tmp_path):
     r = np.random.default_rng(1)
     v = r.integers(-(1 << 23), 1 << 23, 600).astype(np.int32)
@@ -172,6 +185,10 @@ def test_reports(spark, tmp_path):
     (tmp_path / "m.txt").write_text("- ID: 1\n  pos: 0\n  x: 1.5\n- ID: 2\n  pos: 0\n- ID: 1\n  pos: 5\n")
     got = reports.read_key_values(spark, str(tmp_path / "m.txt"))
     assert [(r.event, r.id, r.key, r.value) for r in got.where("key <> 'ID'").orderBy("event", "key").collect()] == [(1, "1", "pos", "0"), (1, "1", "x", "1.5"), (2, "2", "pos", "0"), (3, "1", "pos", "5")]
+    events = spark.createDataFrame([(1, 0, 5, "a"), (1, 1, 5, "b"), (2, 2, 7, None), (1, 3, 6, "b")], "e int, t int, pos int, name string")
+    reports.write_key_values(events, "e", ["t"], ["pos", "name"], str(tmp_path / "kv"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "kv").glob("part-*")))
+    assert text == "- ID: 1\n  pos: 5\n  name: a\n- ID: 1\n  name: b\n- ID: 2\n  pos: 7\n- ID: 1\n  pos: 6\n"
     todo, path = spark.range(10).withColumnRenamed("id", "k"), str(tmp_path / "out")
     work = lambda df: df.withColumn("v", F.col("k") * 2)
     assert reports.collect_resumed(todo.where("k < 4"), path, ["k"], work) == 4
