@@ -39,7 +39,7 @@ from ._bytes import U64, chunks, mix64, small_batches, span_hashes
 from ._pieces import Automaton, Vocabulary, automaton, marked
 from .tokencount import PIECES
 
-SAMPLES, SEED, CHUNK = 2, 7, 2 << 20
+SAMPLES, SEED, CHUNK = 2, 7, 1 << 20
 
 
 def scatter(*parts) -> np.ndarray:
@@ -56,15 +56,19 @@ def uniform(*parts) -> np.ndarray:
     return ((scatter(*parts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def uniform1(*parts: int) -> float:
-    """uniform() of whole numbers, without arrays."""
+def scatter1(*parts: int) -> int:
+    """scatter() of whole numbers, without arrays."""
     x, mask = 0, (1 << 64) - 1
     for p in parts:
         x = p + x * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & mask
         x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
         x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
         x ^= x >> 31
-    return ((x >> 11) + 0.5) * 2.0**-53
+    return x
+
+
+def uniform1(*parts: int) -> float:
+    return ((scatter1(*parts) >> 11) + 0.5) * 2.0**-53
 
 
 class Lattice:
@@ -90,7 +94,7 @@ class Lattice:
             cells, self.came, self.piece, logs = (np.concatenate(x) for x in (cells, came, piece, logs))
         else:
             cells, self.came, self.piece, logs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        by = np.argsort(cells, kind="stable")
+        by = np.argsort(cells << 7 | cells - self.came)  # the pieces of a cell differ in length: one order, whatever else is in the chunk
         cells, self.came, self.piece = cells[by], self.came[by], self.piece[by]
         self.size = cells - self.came  # bytes of each arc's piece
         share = np.exp(logs[by] - total[cells])
@@ -201,7 +205,8 @@ class Row:
                 break
             width *= 4
         near = np.flatnonzero(mass > max(top - 50.0, -1e300))  # all others together are less than rounding
-        draws = -np.log(uniform(self.key, sample, near + at, (1 << 40) + 1))
+        seed = U64(scatter1(self.key, sample, (1 << 40) + 1))
+        draws = -np.log(((mix64(seed + (near + at).astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53)
         values = -np.logaddexp(-value, np.log(draws) - mass[near])
         keep = np.argsort(-values, kind="stable")[: self.k + 1]
         for j in keep:
@@ -331,32 +336,41 @@ class Speller:
         """The ids end to end, their bounds, and whether each segmentation's ids decode to its row's text (the first mark still before it)."""
         arcs = np.concatenate(chosen)
         piece, size = lattice.piece[arcs], lattice.size[arcs]
-        ends = np.cumsum(size)
         n_arcs = np.array([len(c) for c in chosen])
         arc_bounds = np.concatenate([[0], np.cumsum(n_arcs)])
-        # where each segmentation begins in what follows, and where its text is
-        total = np.concatenate([[0], ends])
+        total = np.concatenate([[0], np.cumsum(size)])
+        # positions in the texts end to end need 32 bits, but for a text of a gigabyte
+        place = np.int32 if total[-1] < 1 << 31 and len(data) < 1 << 31 else np.int64
+        size = size.astype(place)
+        at = total[:-1].astype(place)
         begin, length = total[arc_bounds[:-1]], np.diff(total[arc_bounds])
-        whole = data[np.repeat(offsets[rows] - begin, length) + np.arange(int(total[-1]))]
+        whole = np.concatenate([data[offsets[r] : offsets[r + 1]] for r in rows.tolist()])
         unknown = piece < 0
-        copies = np.where(unknown, size, 1)  # an unknown character is as many ids as bytes
-        where = np.repeat(np.arange(len(piece)), copies)
-        ids = self.machine.ids[np.maximum(piece, 0)][where]
-        raw = np.flatnonzero(unknown[where])
-        step = raw - np.repeat(np.cumsum(copies) - copies, copies)[raw]
-        places = (ends - size)[where[raw]] + step
+        copies = np.where(unknown, size, place(1))  # an unknown character is as many ids as bytes
+        ids = np.repeat(self.machine.ids[np.maximum(piece, 0)].astype(np.int32), copies)
+        strange = np.flatnonzero(unknown)
+        n = size[strange]
+        inner = np.arange(int(n.sum()), dtype=place) - np.repeat((np.cumsum(n) - n).astype(place), n)
+        ends = np.cumsum(copies)
+        raw = np.repeat((ends - copies)[strange], n) + inner
+        places = np.repeat(at[strange], n) + inner
+        bounds = np.concatenate([[0], ends])[arc_bounds]
+        if len(whole) != total[-1]:
+            raise AssertionError("a segmentation doesn't cover its text")
         ids[raw] = self.machine.byte_ids[whole[places]]
-        bounds = np.concatenate([[0], np.cumsum(copies)])[arc_bounds]
         # decode: the bytes of each id, one after another
         decoded = np.empty(int(total[-1]), np.uint8)
         known = np.flatnonzero(~unknown)
-        n = self.machine.lengths[piece[known]]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        decoded[np.repeat((ends - size)[known], n) + inner] = self.pool[np.repeat(self.at[piece[known]], n) + inner]
+        n = size[known]
+        source = np.arange(int(n.sum()), dtype=place)
+        source += np.repeat(self.at[piece[known]].astype(place) - (np.cumsum(n) - n).astype(place), n)
+        to = np.ones(int(total[-1]), bool)
+        to[places] = False
+        decoded[to] = self.pool[source]  # known pieces fill what unknown characters leave, in order
         decoded[places] = self.byte_of[ids[raw]]
         wrong = np.concatenate([[0], np.cumsum(decoded != whole)])
         same = (wrong[begin + length] == wrong[begin]) & (length == np.diff(offsets)[rows])
-        return ids.astype(np.int32), bounds, same
+        return ids, bounds, same
 
 
 def op9_segmentation_sampling(spark, sf_dir: str) -> DataFrame:
