@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstream.functions import dsp, scalars
 from siltstream.operators import clocks, compare, findings, islands, joins, merge, selection, timeline
-from siltstream.sources import lossless, media, reports
+from siltstream.sources import lossless, media, reports, scenes
 from siltstream.streaming import streams
 
 
@@ -197,6 +197,19 @@ def test_reports(spark, tmp_path):
     assert reports.read_json_lines(spark, path).count() == 10
 
 
+def test_scenes(spark, tmp_path):
+    block = '<audioBlockFormat audioBlockFormatID="AB_0003100{c}_0000000{b}" rtime="00:00:0{b}.50000" duration="00:00:01.00000"><position coordinate="X">-0.5</position><position coordinate="Y">1</position>{g}</audioBlockFormat>'
+    blocks = "".join(block.format(c=c, b=b, g="<gain>0.5</gain>" if b == 2 else "") for c in (1, 2) for b in (1, 2))
+    (tmp_path / "s.xml").write_text(f'<root><audioObject audioObjectID="AO_1001" name="a"><ref>AC_1</ref><ref>AC_9</ref></audioObject>{blocks}</root>')
+    got = scenes.read_blocks(spark, str(tmp_path / "s.xml"), 48_000).orderBy("channel", "block").collect()
+    assert [(r.channel, r.block, r.start, r.duration, r.x, r.y, r.z, r.gain) for r in got][:2] == [("00031001", 1, 72_000, 48_000, -0.5, 1.0, None, 1.0), ("00031001", 2, 120_000, 48_000, -0.5, 1.0, None, 0.5)]
+    assert len(got) == 4 and timeline.tiling_faults(scenes.read_blocks(spark, str(tmp_path / "s.xml"), 48_000), ["channel"], "start", "duration").count() == 0
+    (o,) = scenes.read_elements(spark, str(tmp_path / "s.xml"), "audioObject", ["audioObjectID", "name"], ["ref"]).collect()
+    assert (o.audioObjectID, o.name, o.ref) == ("AO_1001", "a", ["AC_1", "AC_9"])
+    (tmp_path / "d.txt").write_text("object 3: x=1 gain=-0.5\nnothing\nbed: mask=7")
+    assert [(r.line, r.item, r.field, r.value) for r in scenes.read_dump(spark, str(tmp_path / "d.txt")).orderBy("line", "field").collect()] == [(0, "object 3", "gain", "-0.5"), (0, "object 3", "x", "1"), (2, "bed", "mask", "7")]
+
+
 def test_scalars(spark):
     data = [(b"123456789",), (b"",), (None,)]
     df = spark.createDataFrame(data, "b binary")
