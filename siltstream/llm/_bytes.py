@@ -70,10 +70,10 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
         first = last
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batches in slices whose first columns have about `limit` bytes (or one row), so that no copy of a column is larger."""
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = CHUNK, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts (in `column`) have about `limit` bytes (or one row), so that no copy of a column is larger."""
     for batch in batches:
-        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0), np.int64))
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
         first = 0
         while first < batch.num_rows:
             before = int(sizes[first - 1]) if first else 0

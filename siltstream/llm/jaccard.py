@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, U64, Words, chunks, count_unique, mix64, sequence_hashes, sequence_sums
+from ._bytes import LOWER, U64, Words, chunks, count_unique, mix64, sequence_hashes, sequence_sums, small_batches
 from ._shared import HashArrays, by_shard, parts_for, shared_folder, through_table, unpack, write_shard
 
 SIZE, PERCENT = 4, 85
@@ -84,7 +84,7 @@ def document_table(docs: DataFrame, size: int) -> DataFrame:
     """key, n_shingles, a, b (of the set) for each row."""
 
     def made(batches):
-        for batch in batches:
+        for batch in small_batches(batches, column=1):
             for first, data, offsets in chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, size)
                 a, b = _prints(hashes, bounds)
@@ -152,7 +152,7 @@ def _count_shingles(docs: DataFrame, size: int, copies: Copies) -> tuple[str, in
             rows = by_shard(shards, keys, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
-        for batch in batches:
+        for batch in small_batches(batches, column=1):
             keys = np.asarray(batch.column(0))
             for first, data, offsets in chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, size)
@@ -181,7 +181,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, copies: Copies, uri: s
     """Documents that may have a partner: key, n, set (sorted hashes), cells (the window's shingles that others have too)."""
 
     def made(batches):
-        for batch in batches:
+        for batch in small_batches(batches, column=1):
             keys = np.asarray(batch.column(0))
             for first, data, offsets in chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, size)

@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, U64, Words, chunks, mix64, powers, sequence_hashes, sequence_sums
+from ._bytes import LOWER, U64, Words, chunks, mix64, powers, sequence_hashes, sequence_sums, small_batches
 from ._shared import HashArrays, parts_for, shard_column, shared_folder, through_table, write_shard
 
 MIN_WORDS, NEAR_WORDS = 5, 10
+#: Bytes of text that are worked on at once.
+CHUNK = 1 << 20
 _LENGTH = U64(0x632BE59BD9B4E019)
 
 
@@ -70,7 +72,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["_ld_key"].dataType.simpleString()
 
     def made(batches):
-        for batch in batches:
+        for batch in small_batches(batches, CHUNK):
             rows = np.asarray(batch.column(2))
             for first, data, offsets in chunks(batch.column(0)):
                 _, sums, a, b, text, number = _lines(data, offsets)
@@ -92,7 +94,7 @@ def _variants(docs: DataFrame, uri: str, shards: int) -> DataFrame:
 
     def made(batches):
         chosen = HashArrays.at(uri, shards, {"place": "u8"})
-        for batch in batches:
+        for batch in small_batches(batches, CHUNK):
             rows = np.asarray(batch.column(2))
             for first, data, offsets in chunks(batch.column(0)):
                 hashes, sums, a, b, text, number = _lines(data, offsets)
