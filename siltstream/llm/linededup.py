@@ -1,7 +1,7 @@
 """Line dedup: of lines that are equal, or one word apart, the earliest in the corpus stays.
 
-A line counts if it has MIN_WORDS words (in lower case, A to Z); one of NEAR_WORDS or more is
-also a copy of an earlier line that one inserted, deleted or changed word makes of it.
+A line counts if it has a word (MIN_WORDS = 1; in lower case, A to Z); one of NEAR_WORDS or more
+is also a copy of an earlier line that one inserted, deleted or changed word makes of it.
 
 1. Every line becomes a row of hashes. Equal lines are grouped; each keeps its earliest place.
 2. Lines that one word edit separates share either their first or their last half (of the
@@ -17,7 +17,7 @@ also a copy of an earlier line that one inserted, deleted or changed word makes
 Order is (key, hash of key and text, line number), null keys first. Rows with one key and text
 are one document here: what goes from one goes from the other.
 
-Defined results: a null or empty text has no lines that count, and stays. A line that stays keeps its bytes.
+Defined results: a null or empty text has no lines that count, and stays; so do blank lines. A line that stays keeps its bytes.
 Where lines go, the rest is joined as it stood. Columns of the documents are kept, whatever their
 names but for those that begin with "_ld_". An empty table gives an empty one.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._bytes import LOWER, U64, Words, chunks, mix64, powers, sequence_hashes, sequence_sums, small_batches
 from ._shared import HashArrays, parts_for, shard_column, shared_folder, through_table, write_shard
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 10
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 _LENGTH = U64(0x632BE59BD9B4E019)

@@ -55,6 +55,12 @@ def test_lines_that_go(spark):
         assert texts[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in expected))
 
 
+def test_short_lines_that_are_equal_go(spark):
+    docs = [(1, "All rights reserved.\n\nyes"), (2, "all  rights RESERVED.\n\nno"), (3, "yes\nall rights\n \n")]
+    got = linededup.find_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(x.key, x.number, x.near) for x in got} == {(2, 0, False), (3, 0, False)}
+
+
 def test_word_distance():
     r = random.Random(4)
 
