@@ -1,23 +1,29 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order from 2.
 
-Spark counts the words, then the pairs of words, of all training texts; the counts lie as
-sorted hash arrays in the shared folder, and the workers that score texts memory-map them.
+Spark counts the words, then the pairs, then the longer n-grams of all training texts; the
+counts lie as sorted hash arrays in the shared folder, and the workers that score texts
+memory-map them.
 
 * Level 1 has an entry for each word (its 64-bit hash), for the end of a text and for its
   beginning: how often it occurs, how many different words it follows (its continuation
-  count), and as a context: how many words follow it, and the weight it leaves to level 1.
-* Level 2 has an entry for each pair: key = mix64(place of the first << 32 | place of the
-  second), a bijection, so that pairs are exact and yet fall evenly into the shards.
+  count), and as a context: what follows it, and the weight it leaves to level 1.
+* Level k has an entry for each n-gram of k words: key = mix64(place of its first k - 1 words
+  << 32 | place of its last k - 1), a bijection, so that n-grams are exact and yet fall evenly
+  into the shards. All levels but the last also hold the continuation count and the context.
+* Counting goes up level by level, adding up goes down: a level's continuation counts are
+  known when the level above is counted, and only they give the level below its contexts.
 
 Each map task sends a hash range's counts as one packed row, already summed over its
 texts; so a word that makes up a third of the corpus is one number for each task.
 
 Probabilities (Chen and Goodman, "An empirical study of smoothing techniques", 1998), with
-a for a word's continuation count, A for the number of different pairs, V for the distinct
-tokens and D for the discount of a count (of 1, of 2, of 3 or more, by level):
-  p1(w) = max(a(w) - D(a), 0) / A + g1 / (V + 1),       g1 = sum of discounts / A
-  p(w|v) = max(c(vw) - D(c), 0) / c(v) + g(v) * p1(w),  g(v) = sum of v's discounts / c(v)
-A context that training never saw leaves p1. Over the V tokens and one unknown they sum to 1.
+A for the number of different pairs, V for the distinct tokens, D for the discount of a count
+(of 1, of 2, of 3 or more, by level), and a for the count at the last level, elsewhere for the
+continuation count (for an n-gram at a text's beginning, before which nothing stands, the count):
+  p1(w) = max(a(w) - D(a), 0) / A + g1 / (V + 1),              g1 = sum of discounts / A
+  pk(w|vx) = max(a(vxw) - D(a), 0) / a(vx.) + g(vx) * p(w|x),  g(vx) = sum of vx's discounts / a(vx.)
+One beginning stands before a text, so its first token has a context of one. A context that
+training never saw leaves the shorter one's. Over the V tokens and one unknown they sum to 1.
 
 Defined results: a null text or an empty one has one token, its end. A null doc_id counts as
 an empty one (its crc32 is 0: training). Repeated rows count as often as they stand there. No
@@ -35,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import CHUNK, LOWER, U64, Words, chunks, count_unique, mix64, unmix64
-from ._shared import HashArrays, by_shard, pack, parts_for, shared_folder, through_table, unpack, write_shard
+from ._shared import HashArrays, by_shard, pack, parts_for, shared_folder, unpack, write_shard
 
 END, BEGIN = (int(x) for x in mix64(np.array([1, 2], U64)))
 BLOBS = "shard int, blob binary"
@@ -45,6 +51,7 @@ HELD = 1_000_000
 WORDS = 100_000
 LEVEL1 = {"count": "u8", "after": "u8", "total": "u8", "left": "f8"}
 LEVEL2 = {"count": "u4"}
+MIDDLE = {"count": "u4", "after": "u4", "total": "u4", "left": "f8"}
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,15 +120,115 @@ def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)], 0.0)
 
 
+def _sizes(rows, shards: int) -> list[int]:
+    sizes = [0] * shards
+    for r in rows:
+        sizes[r.shard] = r.n
+    if sum(sizes) >= 1 << 32:
+        raise ValueError("a level of 2**32 entries or more has no room in a key's 64 bits")
+    return sizes
+
+
+def _numbers(t: np.ndarray, bounds: np.ndarray, uri: str, shards: int, sizes: list[list[int]], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the level's n-grams that end at a training text's tokens, and where these end."""
+    one, place = HashArrays.at(f"{uri}/1", shards, LEVEL1), Place(sizes[0])
+    begin = place.number(one.find(np.array([BEGIN], U64), "at")[1])
+    now = place.number(_lookup(one, t, "at")[1])
+    before = np.concatenate([begin, now[:-1]])
+    before[bounds[:-1]] = begin
+    keys, on = mix64(before.astype(U64) << U64(32) | now.astype(U64)), np.arange(len(t))
+    starts = np.repeat(bounds[:-1], np.diff(bounds))
+    for k in range(3, level + 1):
+        number = np.full(len(t), -1)
+        number[on] = Place(sizes[k - 2]).number(_lookup(HashArrays.at(f"{uri}/{k - 1}", shards, MIDDLE), keys, "at")[1])
+        on = on[on - starts[on] >= k - 2]
+        keys = mix64(number[on - 1].astype(U64) << U64(32) | number[on].astype(U64))
+    return keys, on
+
+
+def _count_level(texts: DataFrame, uri: str, shards: int, sizes: list[list[int]], level: int) -> list:
+    """Stores the level's n-grams with their counts; of each shard: how many there are, and how many have the counts 1 to 4."""
+
+    def grams(batches):
+        return _summed(batches, lambda t, bounds: _numbers(t, bounds, uri, shards, sizes, level)[0], shards)
+
+    def store(key, table):
+        keys, counts = _merge(table, "u4")
+        s = key[0].as_py()
+        write_shard(f"{uri}/{level}", s, key=keys, count=counts.astype(np.uint32))
+        return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "counts": pa.array([[int((counts == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64()))})
+
+    return texts.mapInArrow(grams, BLOBS).groupBy("shard").applyInArrow(store, "shard int, n long, counts array<long>").collect()  # a row for each shard
+
+
+def _sum_level(spark, uri: str, shards: int, sizes: list[list[int]], level: int, counted: str, d: list[float]) -> list[int]:
+    """Adds the level's counts up for the level below: its continuation counts ("after"; the count, where nothing stands before) and what it is as a context. How many of those are 1, 2, 3, 4, 3 or more, and their sum."""
+    place = Place(sizes[level - 2])
+    groups = np.arange(shards) * min(shards, -(-sum(sizes[level - 2]) // WORDS)) // shards  # of the lower level's shards, whose sums are added by one task
+    edges1 = np.append(np.flatnonzero(np.diff(groups, prepend=-1)), shards)
+    types = LEVEL2 | {"after": "u4"}
+
+    def sums(batches):
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                level_ = HashArrays(f"{uri}/{level}", shards, types)
+                gram, counts = unmix64(level_.column(s, "key")), level_.column(s, counted).astype(np.uint64)
+                first = count_unique((gram >> U64(32)).astype(np.int64), counts, *((counts == k).astype(np.uint64) for k in (1, 2)), np.ones(len(gram), np.uint64))
+                second = count_unique((gram & U64(0xFFFFFFFF)).astype(np.int64))
+                out = {"shard": [], "what": [], "blob": []}
+                for what, (numbers, *columns) in (("first", first), ("second", second)):
+                    edges = np.searchsorted(numbers, place.base[edges1])
+                    for g in np.flatnonzero(np.diff(edges)):
+                        a, b = edges[g], edges[g + 1]
+                        out["shard"].append(int(g))
+                        out["what"].append(what)
+                        out["blob"].append(pack_columns((numbers[a:b] - place.base[edges1[g]]).astype(U64), *(c[a:b] for c in columns)))
+                yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["what"], pa.string()), pa.array(out["blob"], pa.binary())], ["shard", "what", "blob"])
+
+    def store_contexts(key, table):
+        first, last = edges1[key[0].as_py()], edges1[key[0].as_py() + 1]
+        base = place.base[first : last + 1] - place.base[first]
+        n = int(base[-1])
+        after, total, n1, n2, all_ = (np.zeros(n, np.uint64) for _ in range(5))
+        for what, blob in zip(table["what"].to_pylist(), table["blob"].to_pylist(), strict=True):
+            if what == "second":
+                at, a = unpack(blob, "u8", "u8")
+                after[at.astype(np.int64)] += a
+            else:
+                at, *columns = unpack(blob, "u8", "u8", "u8", "u8", "u8")
+                for to, c in zip((total, n1, n2, all_), columns, strict=True):
+                    to[at.astype(np.int64)] += c
+        lost = d[0] * n1 + d[1] * n2 + d[2] * (all_ - n1 - n2)
+        left = lost / np.maximum(total, 1)
+        lower, kinds = HashArrays(f"{uri}/{level - 1}", shards, LEVEL1 if level == 2 else LEVEL2), LEVEL1 if level == 2 else MIDDLE
+        if level > 2:  # an n-gram that begins a text
+            count = np.concatenate([lower.column(s, "count") for s in range(first, last)])
+            after = np.where(after > 0, after, count)
+        for s, a, b in zip(range(first, last), base[:-1], base[1:], strict=True):
+            write_shard(f"{uri}/{level - 1}", s, after=after[a:b].astype(kinds["after"]), total=total[a:b].astype(kinds["total"]), left=left[a:b])
+        return pa.table({"n": pa.array([[int((after == k).sum()) for k in (1, 2, 3, 4)] + [int((after >= 3).sum()), int(after.sum())]], pa.list_(pa.int64()))})
+
+    found = spark.range(0, shards, 1, shards).mapInArrow(sums, "shard int, what string, blob binary")
+    n = found.groupBy("shard").applyInArrow(store_contexts, "n array<long>").agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(6))).first()
+    return [x or 0 for x in n]
+
+
 class KneserNey:
     """fit() counts and stores; score() adds a text's log10 probabilities."""
 
-    def __init__(self, uri: str, shards: int, sizes: list[int], n_tokens: int, n_distinct: int, n_pairs: int, d1: list[float], d2: list[float], left1: float):
+    def __init__(self, uri: str, shards: int, sizes: list[list[int]], n_tokens: int, n_distinct: int, n_pairs: int, d: list[list[float]], left1: float):
+        """sizes and d (discounts) by level, level 1 first."""
         self.uri, self.shards, self.sizes = uri, shards, sizes
-        self.n_tokens, self.n_distinct, self.n_pairs, self.d1, self.d2, self.left1 = n_tokens, n_distinct, n_pairs, d1, d2, left1
+        self.n_tokens, self.n_distinct, self.n_pairs, self.d, self.left1 = n_tokens, n_distinct, n_pairs, d, left1
+
+    @property
+    def order(self) -> int:
+        return len(self.d)
 
     @classmethod
-    def fit(cls, texts: DataFrame, text: str = "text") -> "KneserNey":
+    def fit(cls, texts: DataFrame, text: str = "text", order: int = 2) -> "KneserNey":
+        if order < 2:
+            raise ValueError("a model has two levels at least")
         spark = texts.sparkSession
         uri, shards = shared_folder(spark, "lm"), 2 * parts_for(spark)
         texts = texts.select(F.col(text).cast("string").alias("text"))
@@ -141,104 +248,54 @@ class KneserNey:
             write_shard(f"{uri}/1", s, key=keys, count=counts.astype(np.uint64))
             return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())], "distinct": [int((counts > 0).sum())]})
 
-        _folder(spark, f"{uri}/1")
-        _folder(spark, f"{uri}/2")
+        for level in range(1, order + 1):
+            _folder(spark, f"{uri}/{level}")
         rows = texts.mapInArrow(words, BLOBS).groupBy("shard").applyInArrow(store_words, "shard int, n long, tokens long, distinct long").collect()  # a row for each shard
-        sizes = [0] * shards
-        for r in rows:
-            sizes[r.shard] = r.n
         n_tokens, n_distinct = sum(r.tokens for r in rows), sum(r.distinct for r in rows)
-        if sum(sizes) >= 1 << 32:
-            raise ValueError("a vocabulary of 2**32 words or more has no room in a pair's 64 bits")
-        place = Place(sizes)
-        groups = np.arange(shards) * min(shards, -(-sum(sizes) // WORDS)) // shards  # of level 1's shards, whose sums are added by one task
-        edges1 = np.append(np.flatnonzero(np.diff(groups, prepend=-1)), shards)
-
-        def pairs(batches):
-            level = HashArrays.at(f"{uri}/1", shards, LEVEL1)
-            begin = place.number(level.find(np.array([BEGIN], U64), "at")[1])
-
-            def keys_of(t, bounds):
-                now = place.number(_lookup(level, t, "at")[1])
-                before = np.concatenate([begin, now[:-1]])
-                before[bounds[:-1]] = begin
-                return mix64(before.astype(U64) << U64(32) | now.astype(U64))
-
-            return _summed(batches, keys_of, shards)
-
-        def store_pairs(key, table):
-            keys, counts = _merge(table, "u4")
-            write_shard(f"{uri}/2", key[0].as_py(), key=keys, count=counts.astype(np.uint32))
-            pair = unmix64(keys)
-            total, n1, n2 = counts.astype(np.uint64), (counts == 1).astype(np.uint64), (counts == 2).astype(np.uint64)
-            first = count_unique((pair >> U64(32)).astype(np.int64), total, n1, n2, np.ones(len(keys), np.uint64))
-            second = count_unique((pair & U64(0xFFFFFFFF)).astype(np.int64))
-            out = {"shard": [], "what": [], "blob": [], "n": []}
-            for what, (numbers, *columns) in (("first", first), ("second", second)):
-                edges = np.searchsorted(numbers, place.base[edges1])
-                for g in np.flatnonzero(np.diff(edges)):
-                    a, b = edges[g], edges[g + 1]
-                    out["shard"].append(int(g))
-                    out["what"].append(what)
-                    out["blob"].append(pack_columns((numbers[a:b] - place.base[edges1[g]]).astype(U64), *(c[a:b] for c in columns)))
-                    out["n"].append(None)
-            out["shard"].append(-1 - key[0].as_py())
-            out["what"].append("counts")
-            out["blob"].append(b"")
-            out["n"].append([int((counts == k).sum()) for k in (1, 2, 3, 4)])
-            return pa.table({"shard": pa.array(out["shard"], pa.int32()), "what": out["what"], "blob": pa.array(out["blob"], pa.binary()), "n": pa.array(out["n"], pa.list_(pa.int64()))})
-
-        found = through_table(texts.mapInArrow(pairs, BLOBS).groupBy("shard").applyInArrow(store_pairs, "shard int, what string, blob binary, n array<long>"), "lm-sums")
-        sums = found.where("what = 'counts'").agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4))).first()
-        d2 = discounts([x or 0 for x in sums])
-
-        def store_contexts(key, table):
-            first, last = edges1[key[0].as_py()], edges1[key[0].as_py() + 1]
-            base = place.base[first : last + 1] - place.base[first]
-            n = int(base[-1])
-            after, total, n1, n2, all_ = (np.zeros(n, np.uint64) for _ in range(5))
-            for what, blob in zip(table["what"].to_pylist(), table["blob"].to_pylist(), strict=True):
-                if what == "second":
-                    at, a = unpack(blob, "u8", "u8")
-                    after[at.astype(np.int64)] += a
-                else:
-                    at, *columns = unpack(blob, "u8", "u8", "u8", "u8", "u8")
-                    for to, c in zip((total, n1, n2, all_), columns, strict=True):
-                        to[at.astype(np.int64)] += c
-            lost = d2[0] * n1 + d2[1] * n2 + d2[2] * (all_ - n1 - n2)
-            left = lost / np.maximum(total, 1)
-            for s, a, b in zip(range(first, last), base[:-1], base[1:], strict=True):
-                write_shard(f"{uri}/1", s, after=after[a:b], total=total[a:b], left=left[a:b])
-            return pa.table({"n": pa.array([[int((after == k).sum()) for k in (1, 2, 3, 4)] + [int((after >= 3).sum()), int(after.sum())]], pa.list_(pa.int64()))})
-
-        sums = found.where("shard >= 0").select("shard", "what", "blob").groupBy("shard").applyInArrow(store_contexts, "n array<long>").agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(6))).first()
-        n1, n2, n3, n4, more, n_pairs = (x or 0 for x in sums)
-        d1 = discounts([n1, n2, n3, n4])
-        left1 = (d1[0] * n1 + d1[1] * n2 + d1[2] * more) / n_pairs if n_pairs else 1.0
-        return cls(uri, shards, sizes, n_tokens, n_distinct, n_pairs, d1, d2, left1)
+        sizes = [_sizes(rows, shards)]
+        for level in range(2, order + 1):
+            rows = _count_level(texts, uri, shards, sizes, level)
+            sizes.append(_sizes(rows, shards))
+        d = [[0.0] * 3] * order
+        d[-1] = discounts([sum(r.counts[k] for r in rows) for k in range(4)])
+        for level in range(order, 1, -1):
+            n = _sum_level(spark, uri, shards, sizes, level, "count" if level == order else "after", d[level - 1])
+            d[level - 2] = discounts(n[:4])
+        n_pairs = n[5]
+        left1 = (d[0][0] * n[0] + d[0][1] * n[1] + d[0][2] * n[4]) / n_pairs if n_pairs else 1.0
+        return cls(uri, shards, sizes, n_tokens, n_distinct, n_pairs, d, left1)
 
     def score_tokens(self, t: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The training count and the model's log10 probability of each token."""
         one = HashArrays.at(f"{self.uri}/1", self.shards, LEVEL1)
-        two = HashArrays.at(f"{self.uri}/2", self.shards, LEVEL2)
-        place = Place(self.sizes)
+        place = Place(self.sizes[0])
         if not self.n_tokens:
             return np.zeros(len(t), np.uint64), np.full(len(t), -np.log10(self.n_distinct + 1))
         distinct, back = np.unique(np.append(t, U64(BEGIN)), return_inverse=True)
         known, count, after, total, left, at = one.find(distinct, "count", "after", "total", "left", "at")
-        p1 = _discounted(after, self.d1) / max(self.n_pairs, 1) + self.left1 / (self.n_distinct + 1)
+        p1 = _discounted(after, self.d[0]) / max(self.n_pairs, 1) + self.left1 / (self.n_distinct + 1)
         number = np.where(known, place.number(at), -1)
         now, begin = back[:-1], back[-1]
         before = np.concatenate([[begin], now[:-1]])
         before[bounds[:-1]] = begin
-        p = p1[now]
-        both = np.flatnonzero((number[before] >= 0) & (total[before] > 0))
-        b, n = before[both], now[both]
-        pair = mix64(number[b].astype(U64) << U64(32) | np.maximum(number[n], 0).astype(U64))
-        seen = _lookup(two, pair, "count")[1].astype(np.float64)
-        seen[number[n] < 0] = 0
-        p[both] = _discounted(seen, self.d2) / total[b] + left[b] * p1[n]
-        return count[now], np.log10(p)
+        p, count = p1[now], count[now]
+        first, second, total, left = number[before], number[now], total[before], left[before]
+        for level in range(2, self.order + 1):
+            on = np.flatnonzero((first >= 0) & (total > 0))
+            key = mix64(first[on].astype(U64) << U64(32) | np.maximum(second[on], 0).astype(U64))
+            top = level == self.order
+            names = ("count",) if top else ("after", "total", "left", "at")
+            found, seen, *more = _lookup(HashArrays.at(f"{self.uri}/{level}", self.shards, LEVEL2 if top else MIDDLE), key, *names)
+            found &= second[on] >= 0
+            p[on] = _discounted(np.where(found, seen, 0).astype(np.float64), self.d[level - 1]) / total[on] + left[on] * p[on]
+            if top:
+                break
+            second, ctotal, cleft = np.full(len(t), -1), np.zeros(len(t)), np.zeros(len(t))
+            ok = on[found]
+            second[ok], ctotal[ok], cleft[ok] = Place(self.sizes[level - 1]).number(more[2][found]), more[0][found], more[1][found]
+            first, total, left = (np.concatenate([[x], y[:-1]]) for x, y in ((-1, second), (0, ctotal), (0, cleft)))
+            first[bounds[:-1]] = -1  # nothing stands before the beginning
+        return count, np.log10(p)
 
     def score(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The columns `keep`, n_tokens, n_known, base_score (add-one unigrams) and score for each row."""
@@ -274,12 +331,12 @@ def held_out(key: Column, every: int = 7, rest: int = 2) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % every == rest
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores every row of docs by a model of those that are not held out: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """Scores every row of docs by a model (of n-grams of `order` words) of those that are not held out: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("key")))
-    model = KneserNey.fit(docs.where(~F.col("held_out")))
+    model = KneserNey.fit(docs.where(~F.col("held_out")), order=order)
     return model.score(docs, keep=("key", "held_out")).select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)

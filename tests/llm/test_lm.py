@@ -65,12 +65,64 @@ def test_scores_are_those_of_the_plain_model(spark):
     check(spark, docs)
 
 
+def plain_scores(docs, order):
+    """Scores by n-grams of up to `order` words, level by level; one beginning stands before each text."""
+    tokens = {i: [BEGIN, *lower_words(t), END] for i, t in docs}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    raw = {k: Counter(tuple(t[j : j + k]) for t in train for j in range(len(t) - k + 1)) for k in range(1, order + 1)}
+    counts = {order: raw[order]}
+    for k in range(1, order):
+        after = Counter(g[1:] for g in raw[k + 1])
+        counts[k] = {g: after[g] or raw[k][g] for g in raw[k] if k > 1 or g != (BEGIN,)}
+    d = {k: lm.discounts([sum(x == n for x in c.values()) for n in (1, 2, 3, 4)]) for k, c in counts.items()}
+    less = lambda k, n: d[k][min(n, 3) - 1] if n else 0
+    followers = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            followers[k].setdefault(g[:-1], []).append(n)
+    v = len(counts[1])
+
+    def p(context, w):
+        k = len(context) + 1
+        below = p(context[1:], w) if context else 1 / (v + 1)
+        held = followers[k].get(context)
+        if not held:
+            return below
+        n = counts[k].get((*context, w), 0)
+        return max(n - less(k, n), 0) / sum(held) + sum(less(k, x) for x in held) / sum(held) * below
+
+    scores = {i: sum(math.log10(p(tuple(t[max(j - order + 1, 0) : j]), t[j])) for j in range(1, len(t))) for i, t in tokens.items()}
+    known = [*(g[0] for g in counts[1]), ("unknown",)]
+    contexts = [g for k in range(1, order) for g in list(raw[k])[:20]]
+    return scores, [sum(p(c, w) for w in known) for c in contexts]
+
+
+def test_scores_of_longer_ngrams(spark):
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choices("abcdef", weights=range(1, 7), k=r.randrange(40)))) for i in range(60)] + [(60, None), (61, "never seen a b c"), (62, "a b c never a b c d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    by_order = {}
+    for order in (3, 4):
+        expected, sums = plain_scores(docs, order)
+        assert all(abs(s - 1) < 1e-9 for s in sums)
+        by_order[order] = {x.doc_id: x.score for x in lm.score_documents(df, order=order).collect()}
+        assert by_order[order].keys() == expected.keys()
+        assert all(math.isclose(by_order[order][i], s, rel_tol=1e-9) for i, s in expected.items())
+    assert by_order[3] != by_order[4]
+
+
 def test_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
 
 
+def test_no_training_rows_for_longer_ngrams(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    r = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), order=3).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
+
+
 def test_odd_and_empty_tables(spark):
     df = odd_documents(spark)
     assert lm.score_documents(df).count() == df.count()
