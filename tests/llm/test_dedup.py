@@ -61,6 +61,12 @@ def test_short_lines_that_are_equal_go(spark):
     assert {(x.key, x.number, x.near) for x in got} == {(2, 0, False), (3, 0, False)}
 
 
+def test_short_lines_one_word_apart_go(spark):
+    docs = [(1, "please read the terms first\nfour words stand here"), (2, "please read our terms first\nfour words stood here"), (3, "please read the terms\nplease read all the terms first")]
+    got = linededup.find_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(x.key, x.number, x.near) for x in got} == {(2, 0, True), (3, 0, True), (3, 1, True)}
+
+
 def test_word_distance():
     r = random.Random(4)
 
