@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._shared import cache
+
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
 CHUNK = 2 << 20
@@ -39,7 +41,7 @@ def unmix64(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _RADIX = 0xD1342543DE82EF95
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[str, np.ndarray] = cache()
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:

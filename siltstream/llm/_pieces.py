@@ -11,6 +11,8 @@ from collections import deque
 
 import numpy as np
 
+from ._shared import cache
+
 MARK = "▁"
 #: What a character that is no piece costs below the least score, as the public unigram encoder has it.
 UNKNOWN_PENALTY = 10.0
@@ -168,7 +170,7 @@ class Automaton:
         return out_score, out_count
 
 
-_made: dict[int, Automaton] = {}
+_made: dict[int, Automaton] = cache()
 
 
 def automaton(key: int, vocabulary: Vocabulary) -> Automaton:

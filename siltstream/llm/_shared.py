@@ -3,17 +3,21 @@
 A set of arrays is cut into shards by ranges of the 64-bit key; each shard is written
 once by the task that merged it (under another name first, so a repeated task does no
 harm) and memory-mapped by whoever looks keys up. A lookup touches only the pages that
-its keys fall on; nothing is broadcast or collected.
+its keys fall on; nothing is broadcast or collected but the number of keys in each shard, by
+which a reader tells a shard that is empty from one that it can't see: the latter raises.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import mmap
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +25,58 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path and file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's own process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir (set here only if the session has none); it goes when the session's JVM ends."""
+    """A new folder's URI under spark.checkpoint.dir; it goes when the session's JVM ends. Without that setting there is a folder only if all tasks run on this machine."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/siltstream-{os.getpid()}"
         context.setCheckpointDir(base)
-    path = f"{str(base).rstrip('/')}/siltstream/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = context._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    at, files = _files(spark, f"{str(base).rstrip('/')}/siltstream/{name}-{uuid.uuid4().hex[:12]}")
     files.mkdirs(at)
     files.deleteOnExit(at)
     return str(files.makeQualified(at).toString())
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends here."""
-    path = f"{shared_folder(df.sparkSession, name)}/table"
+def inner_folder(spark: SparkSession, uri: str) -> str:
+    at, files = _files(spark, uri)
+    files.mkdirs(at)
+    return uri
+
+
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Deletes what nothing reads any more, before the session ends."""
+    at, files = _files(spark, uri)
+    files.delete(at, True)
+
+
+def through_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """df, written to the shared folder (or into one there) and read again: its lineage ends here."""
+    path = f"{folder or shared_folder(df.sparkSession, name)}/{name if folder else 'table'}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of jobs that are done and whose frames nothing holds: they count against the disks for as long as the driver's heap has not been collected, which a driver that does little else seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -88,54 +121,74 @@ def by_shard(shards: int, keys: np.ndarray, *columns: np.ndarray) -> list[tuple[
     return [(s, pack(keys[a:b], *(c[a:b] for c in columns))) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
 
+def write_file(uri: str, data) -> None:
+    """Under another name first: whoever reads it finds all of it."""
+    if path := _local(uri):
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, path)
+    else:
+        files, path = pafs.FileSystem.from_uri(uri)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as f:
+            f.write(bytes(data))
+        files.move(part, path)
+
+
+def read_file(uri: str) -> bytes:
+    if path := _local(uri):
+        with open(path, "rb") as f:
+            return f.read()
+    files, path = pafs.FileSystem.from_uri(uri)
+    with files.open_input_stream(path) as f:
+        return f.read()
+
+
+def narrowed(a: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in as few bytes as the largest needs."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
 def write_shard(uri: str, shard: int, **columns: np.ndarray) -> None:
+    """Unsigned columns but the key are narrowed: a reader tells their width by the file's size."""
     for name, a in columns.items():
-        to = f"{uri}/{shard:06d}.{name}"
-        if path := _local(to):
-            part = f"{path}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                f.write(np.ascontiguousarray(a).data)
-            os.replace(part, path)
-        else:
-            files, path = pafs.FileSystem.from_uri(to)
-            part = f"{path}.{uuid.uuid4().hex}"
-            with files.open_output_stream(part) as f:
-                f.write(np.ascontiguousarray(a).tobytes())
-            files.move(part, path)
+        if name != "key" and a.dtype.kind == "u":
+            a = narrowed(a)
+        write_file(f"{uri}/{shard:06d}.{name}", np.ascontiguousarray(a).data)
 
 
 class HashArrays:
-    """Sorted keys in shards, with columns of values; opened lazily, one memory map for each file."""
+    """Sorted keys in shards, with columns of values; opened lazily, one memory map for each file. sizes: the keys of each shard."""
 
     opened: dict[str, "HashArrays"] = {}
 
-    def __init__(self, uri: str, shards: int, types: dict[str, str]):
-        self.uri, self.types, self.starts = uri, {"key": "u8"} | types, shard_starts(shards)
+    def __init__(self, uri: str, sizes: list[int], types: dict[str, str]):
+        self.uri, self.types, self.sizes, self.starts = uri, {"key": "u8"} | types, sizes, shard_starts(len(sizes))
         self.maps: dict[tuple[int, str], np.ndarray] = {}
 
     @classmethod
-    def at(cls, uri: str, shards: int, types: dict[str, str]) -> "HashArrays":
-        """The one that this process has open already, if it has."""
+    def at(cls, uri: str, sizes: list[int], types: dict[str, str]) -> "HashArrays":
+        """The one that this process has open already, if it has. Those of other folders are closed: their stage is over, or will open them again."""
         if uri not in cls.opened:
-            cls.opened[uri] = cls(uri, shards, types)
+            root = uri.rpartition("/")[0]
+            for other in [u for u in cls.opened if u.rpartition("/")[0] != root]:
+                del cls.opened[other]
+            cls.opened[uri] = cls(uri, sizes, types)
         return cls.opened[uri]
 
     def column(self, shard: int, name: str) -> np.ndarray:
         if (shard, name) not in self.maps:
-            self.maps[shard, name] = self._map(f"{self.uri}/{shard:06d}.{name}", np.dtype(self.types[name]))
+            self.maps[shard, name] = self._map(f"{self.uri}/{shard:06d}.{name}", self.sizes[shard], np.dtype(self.types[name])) if self.sizes[shard] else np.zeros(0, self.types[name])
         return self.maps[shard, name]
 
-    def _map(self, uri: str, kind: np.dtype) -> np.ndarray:
+    def _map(self, uri: str, n: int, kind: np.dtype) -> np.ndarray:
         path = _local(uri)
         if path:
-            try:
-                f = open(path, "rb")
-            except FileNotFoundError:  # no key fell into this shard
-                return np.zeros(0, kind)
+            f = open(path, "rb")  # raises, if the shard's file isn't here: the folder is not shared
         else:
             files, at = pafs.FileSystem.from_uri(uri)
-            if files.get_file_info(at).type == pafs.FileType.NotFound:
-                return np.zeros(0, kind)
             f = tempfile.TemporaryFile()  # has no name: it goes with its map
             with files.open_input_stream(at) as source:
                 while block := source.read(1 << 20):
@@ -143,7 +196,9 @@ class HashArrays:
             f.flush()
         with f:
             size = os.fstat(f.fileno()).st_size
-            return np.frombuffer(mmap.mmap(f.fileno(), size, prot=mmap.PROT_READ), kind) if size else np.zeros(0, kind)
+            if size % n or not size // n <= kind.itemsize or kind.kind != "u" and size // n != kind.itemsize:
+                raise OSError(f"{uri} has {size} bytes for {n} keys")
+            return np.frombuffer(mmap.mmap(f.fileno(), size, prot=mmap.PROT_READ), np.dtype(f"{kind.kind}{size // n}"))
 
     def find(self, keys: np.ndarray, *names: str, missing=0) -> list[np.ndarray]:
         """Whether each of the sorted distinct keys is there, then its values (`missing`, if not). The column "at" is its place: shard << 40 | index."""
@@ -165,3 +220,47 @@ class HashArrays:
                 else:
                     o[a:b][ok] = self.column(int(s), n)[at[ok]]
         return [found, *out]
+
+
+#: Text that one shard's task adds up.
+SHARD_BYTES = 64 << 20
+
+
+def shards_for(texts: DataFrame, text: str = "text", least: int = 1) -> int:
+    """How many shards the texts' counts are cut into: by their measured bytes, so that a task's share doesn't grow with them; at least one for each (`least`th) shuffle partition."""
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(2, least * parts_for(texts.sparkSession), -(-size // SHARD_BYTES))
+
+
+def sizes_of(rows, shards: int) -> list[int]:
+    """By shard, of rows (shard, n): the shards that no row names are empty."""
+    out = [0] * shards
+    for r in rows:
+        out[r["shard"]] = r["n"]
+    return out
+
+
+_stage: list[str] = []
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A table that a worker keeps from batch to batch, emptied when another operator begins."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def begin_stage(name: str) -> None:
+    """Called by a worker's function before its first batch: a worker process serves one operator after another, so what the last one kept (maps, automata, tables, freed but unreturned memory) goes first."""
+    if _stage == [name]:
+        return
+    _stage[:] = [name]
+    HashArrays.opened.clear()
+    for held in _caches:
+        held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass

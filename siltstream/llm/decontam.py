@@ -7,29 +7,40 @@ of s pieces must match nearby with at most s - 1 edits, or this hit leads nowher
 halves of a node over their budgets, so would be the node). Distances are Myers' bit-parallel
 ones; the root's is the item's.
 
-Texts and items are compared in lower case with every run of white space as one space. Items of
-fewer than SHORTEST characters are left out: they name no passage.
-
-The items are the query set: they go to the workers in blocks of at most BLOCK bytes, each a
-pass over the texts, so no broadcast grows beyond that.
-
-Defined results: null or empty texts and items match nothing. A text gives one row for each item it
-holds, with the least number of edits and the place where the first such match ends. Repeated
-rows give repeated matches; items with one id count by their best. Further columns are not read.
+Texts and items are compared in lower case with every run of white space as one space. An item of
+under ten characters may not differ at all, and must stand between characters that are neither letters
+nor digits (or at an end): "a" isn't held by every word with an a.
+
+The items are cut into blocks of about BLOCK bytes, by a hash of item and text, which tasks write to the shared
+folder; the driver sees none of them. The texts are read once: a task holds HELD bytes of them at a time
+and matches them by each block in turn, so memory depends on neither table's size, and a benchmark
+of one block has its matcher built once for each worker.
+
+Defined results: null, empty or blank texts and items match nothing. A text of any length is searched whole, in
+memory that grows with its own length. A text gives one row for each item it holds, with the least number of edits and,
+of equal ones, the first place where such a match ends. Repeated rows of texts give repeated
+matches; repeated rows of items count once, items with one id by their best. A null item id is an id of its own.
+Empty tables give an empty one. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-RATE, SHORTEST = 10, 24
-#: Bytes of items in one pass over the texts.
-BLOCK = 4 << 20
+from ._bytes import small_batches
+from ._shared import begin_stage, cache, read_file, shared_folder, write_file
+
+RATE = 10
+#: Bytes of items in one matcher, and of texts that a task holds while it goes through the blocks.
+BLOCK, HELD = 4 << 20, 8 << 20
 
 
 def normal(text: str | None) -> str:
@@ -105,6 +116,10 @@ class Item:
             s, e, budget, _, _ = self.nodes[self.above[j]]
             offset = self.starts[j]
             windows[self.above[j]].append((begin - (offset - s) - budget, begin + (e - offset) + budget))
+        if len(self.pieces) == 1:
+            n = len(self.text)
+            ends = [a + n for _, a in hits if not (a and text[a - 1].isalnum() or text[a + n : a + n + 1].isalnum())]
+            return (0, min(ends)) if ends else None
         best = None
         for number, (s, e, budget, parent, peq) in enumerate(self.nodes):
             right = 0
@@ -152,58 +167,81 @@ class Matcher:
         return {n: m for n, m in found.items() if m is not None}
 
 
-_made: dict[int, Matcher] = {}
+_made: dict[str, Matcher] = cache()
+
+
+def _matcher(uri: str, block: int) -> Matcher:
+    name = f"{uri}/{block}"
+    if name not in _made:
+        _made.clear()
+        _made[name] = Matcher(pickle.loads(read_file(name)))
+    return _made[name]
+
 
+def write_blocks(items: DataFrame, item: str, text: str, most: int = BLOCK) -> tuple[str, list[int]]:
+    """The normalised items, in files of about `most` bytes in the shared folder: the folder, and the numbers of the files."""
+    spark = items.sparkSession
+    kind = items.schema[item].dataType.simpleString()
 
-def blocks(items: DataFrame, item: str, text: str, most: int = BLOCK) -> Iterator[list[tuple[object, str]]]:
-    """The normalised items, in lists of at most `most` bytes (or of one item)."""
-    held, size = [], 0
-    for row in items.select(item, text).orderBy(item, text).toLocalIterator():
-        t = normal(row[1])
-        if len(t) < SHORTEST:
-            continue
-        n = len(t.encode())
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append((row[0], t))
-        size += n
-    if held:
-        yield held
+    def normalised(batches):
+        for batch in small_batches(batches, column=1):
+            texts = [normal(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["item", "text"]).filter(pa.array([t != "" for t in texts], pa.bool_()))
+
+    rows = items.select(F.col(item), F.col(text).cast("string")).mapInArrow(normalised, f"item {kind}, text string").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    uri, n = shared_folder(spark, "benchmark"), -(-size // most)
+    if not n:
+        return uri, []
+
+    def store(key, table):
+        held = sorted(zip(table["item"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[1], str(r[0])))
+        write_file(f"{uri}/{key[0].as_py()}", pickle.dumps(held))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())})
+
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    return uri, sorted(r.block for r in rows.withColumn("block", block).groupBy("block").applyInArrow(store, "block long").collect())  # a number for each file
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about HELD bytes of text."""
+    out, size = [], 0
+    for batch in small_batches(batches, HELD, column=1):
+        out.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+        if size >= HELD:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = BLOCK) -> DataFrame:
     """key, item, edits, at_end for each text and each item that it holds."""
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, key), (items, item)))
     schema = f"`{key}` {kind}, `{item}` {item_kind}, edits int, at_end long"
-    texts = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    out = texts.sparkSession.createDataFrame([], schema)
     item_type = to_arrow_type(items.schema[item].dataType)
-    for block in blocks(items, item, item_text, most):
-        name = hash(tuple(block))
-
-        def match(batches, block=block, name=name):
-            if name not in _made:
-                _made.clear()
-                _made[name] = Matcher(block)
-            matcher = _made[name]
-            names = [key, item, "edits", "at_end"]
-            for batch in batches:
-                rows, what, edits, ends = [], [], [], []
-                for i, t in enumerate(batch.column(1)):
-                    best: dict[object, tuple[int, int]] = {}
-                    for n, m in matcher.find(normal(t.as_py())).items():
-                        k = matcher.items[n].id
-                        best[k] = min(best.get(k, m), m)
-                    for k, m in best.items():
-                        rows.append(i)
-                        what.append(k)
-                        edits.append(m[0])
-                        ends.append(m[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(what, item_type), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], names)
-
-        out = out.unionByName(texts.mapInArrow(match, schema))
-    return out
+    uri, blocks = write_blocks(items, item, item_text, most)
+    names = [key, item, "edits", "at_end"]
+
+    def match(batches):
+        begin_stage(uri)
+        for held in _held(batches):
+            best: dict[tuple[int, int], dict] = {}  # by batch and row: the best match of each item
+            texts = [[normal(t.as_py()) for t in b.column(1)] for b in held]
+            for block in blocks:
+                matcher = _matcher(uri, block)
+                for k, of in enumerate(texts):
+                    for i, t in enumerate(of):
+                        for n, m in matcher.find(t).items():
+                            mine, name = best.setdefault((k, i), {}), matcher.items[n].id
+                            mine[name] = min(mine.get(name, m), m)
+            for k, batch in enumerate(held):
+                found = [(i, name, *m) for i in range(batch.num_rows) for name, m in best.get((k, i), {}).items()]
+                rows, what, edits, ends = zip(*found, strict=True) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, np.int64))), pa.array(what, item_type), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], names)
+
+    return docs.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(match, schema)
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -25,8 +25,10 @@ The shingles' frequencies are counted over all documents, one for each class of
 occur twice or more lie in the shared folder as sorted hash arrays. Shingles are 64-bit hashes.
 
 Defined results: a null or empty text has 0 shingles and is its own component. A text of fewer words than a
-shingle is one shingle. Rows with one key are one document. A row whose key is null is linked with
-nothing, and its component is null. Keys are whole numbers. Further columns are not read.
+shingle is one shingle. A text of any length is read whole, in memory that grows with its own length. Rows with one
+key are one document. A row whose key is null is linked with nothing, and its component is null. Keys may be of any
+type that can be ordered. Equal sets are one class, named by its least key; of keys equally near nothing is chosen.
+An empty table gives an empty one. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, count_unique, mix64, sequence_hashes, sequence_sums, small_batches
-from ._shared import HashArrays, by_shard, parts_for, shared_folder, through_table, unpack, write_shard
+from ._shared import HashArrays, begin_stage, by_shard, drop_folder, inner_folder, release_shuffles, shards_for, shared_folder, shard_starts, sizes_of, through_table, unpack, write_shard
 
 SIZE, PERCENT = 4, 85
 #: Distinct shingles that a map task holds before it sends their counts off.
 HELD = 1_500_000
+#: Shingles of one shard that are held before they are added up.
+MERGED = 2_000_000
 #: A region of up to so many documents and bytes of sets is joined by one task.
 LOCAL, LOCAL_BYTES = 1000, 16 << 20
 #: So many documents are compared pair by pair.
@@ -84,6 +88,7 @@ def document_table(docs: DataFrame, size: int) -> DataFrame:
     """key, n_shingles, a, b (of the set) for each row."""
 
     def made(batches):
+        begin_stage("shingle sets")
         for batch in small_batches(batches, column=1):
             for first, data, offsets in chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, size)
@@ -98,20 +103,19 @@ class Copies:
 
     TYPES = {"b": "u8", "least": "i8"}
 
-    def __init__(self, uri: str, shards: int):
-        self.uri, self.shards = uri, shards
+    def __init__(self, uri: str, sizes: list[int]):
+        self.uri, self.sizes = uri, sizes
 
     def among(self, keys: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         a, b = _prints(hashes, bounds)
         names, back = np.unique(_print_key(a, b), return_inverse=True)
-        found, other, least = HashArrays.at(self.uri, self.shards, self.TYPES).find(names, "b", "least")
+        found, other, least = HashArrays.at(self.uri, self.sizes, self.TYPES).find(names, "b", "least")
         return found[back] & (other[back] == b) & (least[back] != keys)
 
 
-def _store_copies(table: DataFrame) -> Copies:
+def _store_copies(table: DataFrame, uri: str, shards: int) -> Copies:
     """Writes the classes of two rows or more."""
-    spark = table.sparkSession
-    uri, shards = shared_folder(spark, "copies"), max(2, parts_for(spark))
+    inner_folder(table.sparkSession, uri)
 
     def store(batches):
         held = defaultdict(list)
@@ -125,26 +129,25 @@ def _store_copies(table: DataFrame) -> Copies:
             names = _print_key(a.view(U64), b.view(U64))
             names, at = np.unique(names, return_index=True)
             write_shard(uri, k, key=names, b=b.view(U64)[at], least=least[at])
-            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(names)], pa.int64())], ["shard", "n"])
 
     def keyed(batches):  # the shard of a class follows its mixed name, which only numpy makes
         for batch in batches:
             a, b = (np.asarray(batch.column(k)).view(U64) for k in (0, 1))
-            shard = (np.searchsorted(HashArrays(uri, shards, {}).starts, _print_key(a, b), "right") - 1).astype(np.int32)
+            shard = (np.searchsorted(shard_starts(shards), _print_key(a, b), "right") - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", "a", "b", "least"])
 
     classes = table.where("key is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "least")
     rows = classes.mapInArrow(keyed, "shard int, a long, b long, least long")
-    rows.repartition(shards, "shard").mapInArrow(store, "n long").agg(F.sum("n")).collect()
-    return Copies(uri, shards)
+    return Copies(uri, sizes_of(rows.repartition(shards, "shard").mapInArrow(store, "shard int, n long").collect(), shards))  # a row for each shard
 
 
-def _count_shingles(docs: DataFrame, size: int, copies: Copies) -> tuple[str, int]:
-    """Stores each shingle of two documents or more with its number of documents (classes of equal sets)."""
-    spark = docs.sparkSession
-    uri, shards = shared_folder(spark, "shingles"), 2 * parts_for(spark)
+def _count_shingles(docs: DataFrame, size: int, copies: Copies, uri: str, shards: int) -> list[int]:
+    """Stores each shingle of two documents or more with its number of documents (classes of equal sets); how many there are in each shard."""
+    inner_folder(docs.sparkSession, uri)
 
     def counted(batches):
+        begin_stage(uri)
         held, n = [], 0
 
         def send():
@@ -167,27 +170,34 @@ def _count_shingles(docs: DataFrame, size: int, copies: Copies) -> tuple[str, in
             yield send()
 
     def merged(group, table):
-        blobs = [unpack(b.as_py(), "u8", "u4") for b in table["blob"]]
-        keys, counts = count_unique(np.concatenate([k for k, _ in blobs]), np.concatenate([c for _, c in blobs]))
+        held, n, room = [], 0, MERGED
+        for blob in table["blob"]:
+            held.append(unpack(blob.as_py(), "u8", "u4"))
+            n += len(held[-1][0])
+            if n > room:
+                held = [count_unique(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                n = len(held[0][0])
+                room = max(MERGED, 2 * n)
+        keys, counts = count_unique(*(np.concatenate(x) for x in zip(*held, strict=True)))
         often = counts > 1
-        write_shard(uri, group[0].as_py(), key=keys[often], documents=np.minimum(counts[often], 0xFFFFFFFF).astype(np.uint32))
-        return pa.table({"n": pa.array([int(often.sum())], pa.int64())})
+        write_shard(uri, group[0].as_py(), key=keys[often], documents=counts[often])
+        return pa.table({"shard": pa.array([group[0].as_py()], pa.int32()), "n": pa.array([int(often.sum())], pa.int64())})
 
-    docs.mapInArrow(counted, "shard int, blob binary").groupBy("shard").applyInArrow(merged, "n long").agg(F.sum("n")).collect()
-    return uri, shards
+    return sizes_of(docs.mapInArrow(counted, "shard int, blob binary").groupBy("shard").applyInArrow(merged, "shard int, n long").collect(), shards)  # a row for each shard
 
 
-def _candidates(docs: DataFrame, size: int, percent: int, copies: Copies, uri: str, shards: int) -> DataFrame:
+def _candidates(docs: DataFrame, size: int, percent: int, copies: Copies, uri: str, sizes: list[int]) -> DataFrame:
     """Documents that may have a partner: key, n, set (sorted hashes), cells (the window's shingles that others have too)."""
 
     def made(batches):
+        begin_stage(f"{uri} candidates")
         for batch in small_batches(batches, column=1):
             keys = np.asarray(batch.column(0))
             for first, data, offsets in chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, size)
                 own = ~copies.among(keys[first : first + len(bounds) - 1], hashes, bounds)
                 names, back = np.unique(hashes, return_inverse=True)
-                _, often = HashArrays.at(uri, shards, {"documents": "u4"}).find(names, "documents")
+                _, often = HashArrays.at(uri, sizes, {"documents": "u8"}).find(names, "documents")
                 often = often[back]
                 n = np.diff(bounds)
                 alone = np.diff(np.concatenate([[0], np.cumsum(often == 0)])[bounds])
@@ -197,10 +207,10 @@ def _candidates(docs: DataFrame, size: int, percent: int, copies: Copies, uri: s
                     h, o = hashes[bounds[i] : bounds[i + 1]], often[bounds[i] : bounds[i + 1]]
                     order = np.lexsort((h, o))[alone[i] : alone[i] + window[i]]
                     out.append((first + i, len(h), h.tobytes(), h[order].view(np.int64)))
-                rows, sizes, sets, cells = zip(*out, strict=True) if out else ([], [], [], [])
+                rows, counts, sets, cells = zip(*out, strict=True) if out else ([], [], [], [])
                 at = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
                 flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "n", "set", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "n", "set", "cells"])
 
     return docs.mapInArrow(made, "key long, n long, set binary, cells array<long>")
 
@@ -410,38 +420,69 @@ def _join_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node reachable) of every node in links x, y: large and small stars in turn (Kiveris and others, "Connected components in MapReduce and beyond", 2014)."""
-    edges = through_table(links.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
-    mark = None
+    """node, component (the least node reachable) of every node in links x, y: large and small stars in turn (Kiveris and others, "Connected components in MapReduce and beyond", 2014). A round's tables go when the next one is written."""
+    spark = links.sparkSession
+    root = shared_folder(spark, "components")
+
+    def written(df: DataFrame, turn: int, name: str) -> DataFrame:
+        return through_table(df, name, inner_folder(spark, f"{root}/{turn}"))
+
+    edges = written(links.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), 0, "edges")
+    mark, turn = None, 0
     while True:
+        turn += 1
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = through_table(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
-        large = through_table(both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
-        least = through_table(large.groupBy("x").agg(F.min("y").alias("m")), "least")
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
-        edges = through_table(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), turn, "least")
+        large = written(both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), turn, "large")
+        small_least = written(large.groupBy("x").agg(F.min("y").alias("m")), turn, "small")
+        small = large.join(small_least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(small_least.select("x", F.col("m").alias("y")))
+        edges = written(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), turn, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+        drop_folder(spark, f"{root}/{turn - 1}")
         if now == mark:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("component"))
         mark = now
 
 
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
 def group_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, class_id (the least key with an equal set), component_id for each row."""
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    table = through_table(document_table(docs, size), "documents")
-    copies = _store_copies(table)
+    kind = docs.schema[key].dataType.simpleString()
+    if kind in INTEGRAL:
+        named = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+        found = _group(named, size, percent)
+        return found.select(F.col("key").cast(kind).alias(key), "n_shingles", *(F.col(c).cast(kind).alias(c) for c in ("class_id", "component_id")))
+    # keys of other types are numbered in their order, so that the least number is the least key's
+    numbers = through_table(docs.select(F.col(key).alias("_of")).where("_of is not null").distinct().orderBy("_of").select("_of", F.monotonically_increasing_id().alias("key")), "keys")
+    named = docs.select(F.col(key).alias("_of"), F.col(text).cast("string").alias("text")).join(numbers, "_of", "left").select("key", "text")
+    found = _group(named, size, percent)
+    for c in ("key", "class_id", "component_id"):
+        found = found.join(numbers.select(F.col("key").alias("_n"), F.col("_of").alias(f"_{c}")), F.col(c) == F.col("_n"), "left").drop("_n", c)
+    return found.select(F.col("_key").alias(key), "n_shingles", F.col("_class_id").alias("class_id"), F.col("_component_id").alias("component_id"))
+
+
+def _group(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """group_documents of rows key (long), text."""
+    spark = docs.sparkSession
+    root, shards = shared_folder(spark, "jaccard"), shards_for(docs)
+    table = through_table(document_table(docs, size), "documents", root)
+    copies = _store_copies(table, f"{root}/copies", shards)
     keyed = docs.where("key is not null")
-    uri, shards = _count_shingles(keyed, size, copies)
-    candidates = through_table(_candidates(keyed, size, percent, copies, uri, shards), "candidates")
+    sizes = _count_shingles(keyed, size, copies, f"{root}/shingles", shards)
+    release_shuffles(spark)  # the arrays hold what the shuffle carried
+    candidates = through_table(_candidates(keyed, size, percent, copies, f"{root}/shingles", sizes), "candidates", root)
+    for done in ("copies", "shingles"):
+        drop_folder(spark, f"{root}/{done}")
     links = region_links(candidates, percent)
-    classes = through_table(table.where("key is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "classes")
+    classes = through_table(table.where("key is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "classes", root)
     classed = table.join(classes, ["a", "b"], "left").select("key", "n_shingles", F.coalesce("class_id", "key").alias("class_id"))
     # rows with one key are one document, whatever their sets
-    twice = classed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.collect_set("class_id").alias("of")).where("c > 1").select("key", F.explode("of").alias("of"))
-    links = links.unionByName(twice.where("key <> of").select(F.col("key").alias("x"), F.col("of").alias("y")))
-    found = components(links)
-    return classed.join(found, F.col("class_id") == F.col("node"), "left").select(F.col("key").alias(key), "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    twice = classed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("class_id").alias("of"), F.max("class_id").alias("to")).where("c > 1")
+    several = classed.join(twice.where("of <> to or key <> of").select("key"), "key", "left_semi").select(F.col("key").alias("x"), F.col("class_id").alias("y")).where("x <> y")
+    found = components(links.unionByName(several))
+    return classed.join(found, F.col("class_id") == F.col("node"), "left").select("key", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

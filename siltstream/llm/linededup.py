@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, mix64, powers, sequence_hashes, sequence_sums, small_batches
-from ._shared import HashArrays, parts_for, shard_column, shared_folder, through_table, write_shard
+from ._shared import HashArrays, begin_stage, shard_column, shards_for, shared_folder, sizes_of, through_table, write_shard
 
 MIN_WORDS, NEAR_WORDS = 1, 5
 #: Bytes of text that are worked on at once.
@@ -74,6 +74,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["_ld_key"].dataType.simpleString()
 
     def made(batches):
+        begin_stage("lines")
         for batch in small_batches(batches, CHUNK):
             rows = np.asarray(batch.column(2))
             for first, data, offsets in chunks(batch.column(0)):
@@ -90,12 +91,13 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("_ld_text", "_ld_key", "_ld_row").mapInArrow(made, f"key {kind}, row long, number int, line long, halves array<long>")
 
 
-def _variants(docs: DataFrame, uri: str, shards: int) -> DataFrame:
+def _variants(docs: DataFrame, uri: str, sizes: list[int]) -> DataFrame:
     """For the chosen lines, at their earliest places: variant, slot (-1: the line itself, with its words), key, row, number, line."""
     kind = docs.schema["_ld_key"].dataType.simpleString()
 
     def made(batches):
-        chosen = HashArrays.at(uri, shards, {"place": "u8"})
+        begin_stage(uri)
+        chosen = HashArrays.at(uri, sizes, {"place": "u8"})
         for batch in small_batches(batches, CHUNK):
             rows = np.asarray(batch.column(2))
             for first, data, offsets in chunks(batch.column(0)):
@@ -167,16 +169,17 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     shared = through_table(halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("half"), "halves")
     chosen = halves.join(shared, "half", "left_semi").select("line").distinct().join(firsts.select("line", "first"), "line")
 
-    uri, shards = shared_folder(spark, "chosen-lines"), max(2, parts_for(spark))
+    uri, shards = shared_folder(spark, "chosen-lines"), shards_for(docs, "_ld_text")
+
     def store(group, table):
         keys = np.asarray(table["line"]).view(U64)
         order = np.argsort(keys)
         places = _place(np.asarray(table["row"]), np.asarray(table["number"]))
         write_shard(uri, group[0].as_py(), key=keys[order], place=places[order])
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+        return pa.table({"shard": pa.array([group[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
-    chosen.select(shard_column(F.col("line"), shards).alias("shard"), "line", "first.row", "first.number").groupBy("shard").applyInArrow(store, "n long").agg(F.sum("n")).collect()
-    variants = through_table(_variants(docs, uri, shards), "variants")
+    rows = chosen.select(shard_column(F.col("line"), shards).alias("shard"), "line", "first.row", "first.number").groupBy("shard").applyInArrow(store, "shard int, n long").collect()  # a row for each shard
+    variants = through_table(_variants(docs, uri, sizes_of(rows, shards)), "variants")
     own = variants.where("slot = -1").select("line", place.alias("at"), "words")
     less = variants.where("slot >= 0").select("variant", "slot", "line", place.alias("at"))
     earliest = F.min(F.struct("at", "line")).alias("e")

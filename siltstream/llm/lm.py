@@ -40,18 +40,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import CHUNK, LOWER, U64, Words, chunks, count_unique, mix64, unmix64
-from ._shared import HashArrays, by_shard, pack, parts_for, shared_folder, unpack, write_shard
+from ._bytes import CHUNK, LOWER, U64, Words, chunks, count_unique, mix64, small_batches, unmix64
+from ._shared import HashArrays, begin_stage, by_shard, inner_folder, pack, release_shuffles, shared_folder, shards_for, sizes_of, unpack, write_shard
 
 END, BEGIN = (int(x) for x in mix64(np.array([1, 2], U64)))
 BLOBS = "shard int, blob binary"
 #: Distinct keys that a map task holds before it sends them off.
 HELD = 1_000_000
+#: Keys of one shard that are held before they are added up.
+MERGED = 2_000_000
 #: Words whose sums one task adds up.
 WORDS = 100_000
 LEVEL1 = {"count": "u8", "after": "u8", "total": "u8", "left": "f8"}
-LEVEL2 = {"count": "u4"}
-MIDDLE = {"count": "u4", "after": "u4", "total": "u4", "left": "f8"}
+LEVEL2 = {"count": "u8"}
+MIDDLE = LEVEL1
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +71,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _summed(batches: Iterator[pa.RecordBatch], keys_of, shards: int) -> Iterator[pa.RecordBatch]:
     """Packed (key, count) rows by shard, of keys_of(token hashes, bounds) for each chunk."""
     held, size = [], 0
+    begin_stage("counts of language models")
 
     def send():
         keys, counts = count_unique(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        rows = by_shard(shards, keys, counts.astype(np.uint32))
+        rows = by_shard(shards, keys, counts.astype(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
-    for batch in batches:
+    for batch in small_batches(batches, CHUNK):
         for _, data, offsets in chunks(batch.column(0)):
             keys, counts = count_unique(keys_of(*tokens(data, offsets)))
             held.append((keys, counts))
@@ -87,9 +90,17 @@ def _summed(batches: Iterator[pa.RecordBatch], keys_of, shards: int) -> Iterator
         yield send()
 
 
-def _merge(table: pa.Table, *types) -> tuple[np.ndarray, ...]:
-    columns = [unpack(b.as_py(), "u8", *types) for b in table["blob"]]
-    return count_unique(*(np.concatenate([c[k] for c in columns]) for k in range(len(types) + 1)))
+def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a shard's blobs, added up a few at a time, so that what is held is little more than the sum."""
+    held, size, room = [], 0, MERGED
+    for blob in table["blob"]:
+        held.append(unpack(blob.as_py(), "u8", "u8"))
+        size += len(held[-1][0])
+        if size > room:
+            held = [count_unique(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = len(held[0][0])
+            room = max(MERGED, 2 * size)
+    return count_unique(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _lookup(level: HashArrays, keys: np.ndarray, *names: str, missing=0) -> list[np.ndarray]:
@@ -121,17 +132,15 @@ def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 def _sizes(rows, shards: int) -> list[int]:
-    sizes = [0] * shards
-    for r in rows:
-        sizes[r.shard] = r.n
+    sizes = sizes_of(rows, shards)
     if sum(sizes) >= 1 << 32:
         raise ValueError("a level of 2**32 entries or more has no room in a key's 64 bits")
     return sizes
 
 
-def _numbers(t: np.ndarray, bounds: np.ndarray, uri: str, shards: int, sizes: list[list[int]], level: int) -> tuple[np.ndarray, np.ndarray]:
+def _numbers(t: np.ndarray, bounds: np.ndarray, uri: str, sizes: list[list[int]], level: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys of the level's n-grams that end at a training text's tokens, and where these end."""
-    one, place = HashArrays.at(f"{uri}/1", shards, LEVEL1), Place(sizes[0])
+    one, place = HashArrays.at(f"{uri}/1", sizes[0], LEVEL1), Place(sizes[0])
     begin = place.number(one.find(np.array([BEGIN], U64), "at")[1])
     now = place.number(_lookup(one, t, "at")[1])
     before = np.concatenate([begin, now[:-1]])
@@ -140,7 +149,7 @@ def _numbers(t: np.ndarray, bounds: np.ndarray, uri: str, shards: int, sizes: li
     starts = np.repeat(bounds[:-1], np.diff(bounds))
     for k in range(3, level + 1):
         number = np.full(len(t), -1)
-        number[on] = Place(sizes[k - 2]).number(_lookup(HashArrays.at(f"{uri}/{k - 1}", shards, MIDDLE), keys, "at")[1])
+        number[on] = Place(sizes[k - 2]).number(_lookup(HashArrays.at(f"{uri}/{k - 1}", sizes[k - 2], MIDDLE), keys, "at")[1])
         on = on[on - starts[on] >= k - 2]
         keys = mix64(number[on - 1].astype(U64) << U64(32) | number[on].astype(U64))
     return keys, on
@@ -150,12 +159,12 @@ def _count_level(texts: DataFrame, uri: str, shards: int, sizes: list[list[int]]
     """Stores the level's n-grams with their counts; of each shard: how many there are, and how many have the counts 1 to 4."""
 
     def grams(batches):
-        return _summed(batches, lambda t, bounds: _numbers(t, bounds, uri, shards, sizes, level)[0], shards)
+        return _summed(batches, lambda t, bounds: _numbers(t, bounds, uri, sizes, level)[0], shards)
 
     def store(key, table):
-        keys, counts = _merge(table, "u4")
+        keys, counts = _merge(table)
         s = key[0].as_py()
-        write_shard(f"{uri}/{level}", s, key=keys, count=counts.astype(np.uint32))
+        write_shard(f"{uri}/{level}", s, key=keys, count=counts)
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "counts": pa.array([[int((counts == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64()))})
 
     return texts.mapInArrow(grams, BLOBS).groupBy("shard").applyInArrow(store, "shard int, n long, counts array<long>").collect()  # a row for each shard
@@ -166,12 +175,12 @@ def _sum_level(spark, uri: str, shards: int, sizes: list[list[int]], level: int,
     place = Place(sizes[level - 2])
     groups = np.arange(shards) * min(shards, -(-sum(sizes[level - 2]) // WORDS)) // shards  # of the lower level's shards, whose sums are added by one task
     edges1 = np.append(np.flatnonzero(np.diff(groups, prepend=-1)), shards)
-    types = LEVEL2 | {"after": "u4"}
+    types = LEVEL2 | {"after": "u8"}
 
     def sums(batches):
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                level_ = HashArrays(f"{uri}/{level}", shards, types)
+                level_ = HashArrays(f"{uri}/{level}", sizes[level - 1], types)
                 gram, counts = unmix64(level_.column(s, "key")), level_.column(s, counted).astype(np.uint64)
                 first = count_unique((gram >> U64(32)).astype(np.int64), counts, *((counts == k).astype(np.uint64) for k in (1, 2)), np.ones(len(gram), np.uint64))
                 second = count_unique((gram & U64(0xFFFFFFFF)).astype(np.int64))
@@ -200,12 +209,12 @@ def _sum_level(spark, uri: str, shards: int, sizes: list[list[int]], level: int,
                     to[at.astype(np.int64)] += c
         lost = d[0] * n1 + d[1] * n2 + d[2] * (all_ - n1 - n2)
         left = lost / np.maximum(total, 1)
-        lower, kinds = HashArrays(f"{uri}/{level - 1}", shards, LEVEL1 if level == 2 else LEVEL2), LEVEL1 if level == 2 else MIDDLE
+        lower = HashArrays(f"{uri}/{level - 1}", sizes[level - 2], LEVEL1)
         if level > 2:  # an n-gram that begins a text
             count = np.concatenate([lower.column(s, "count") for s in range(first, last)])
             after = np.where(after > 0, after, count)
         for s, a, b in zip(range(first, last), base[:-1], base[1:], strict=True):
-            write_shard(f"{uri}/{level - 1}", s, after=after[a:b].astype(kinds["after"]), total=total[a:b].astype(kinds["total"]), left=left[a:b])
+            write_shard(f"{uri}/{level - 1}", s, after=after[a:b], total=total[a:b], left=left[a:b])
         return pa.table({"n": pa.array([[int((after == k).sum()) for k in (1, 2, 3, 4)] + [int((after >= 3).sum()), int(after.sum())]], pa.list_(pa.int64()))})
 
     found = spark.range(0, shards, 1, shards).mapInArrow(sums, "shard int, what string, blob binary")
@@ -216,9 +225,9 @@ def _sum_level(spark, uri: str, shards: int, sizes: list[list[int]], level: int,
 class KneserNey:
     """fit() counts and stores; score() adds a text's log10 probabilities."""
 
-    def __init__(self, uri: str, shards: int, sizes: list[list[int]], n_tokens: int, n_distinct: int, n_pairs: int, d: list[list[float]], left1: float):
+    def __init__(self, uri: str, sizes: list[list[int]], n_tokens: int, n_distinct: int, n_pairs: int, d: list[list[float]], left1: float):
         """sizes and d (discounts) by level, level 1 first."""
-        self.uri, self.shards, self.sizes = uri, shards, sizes
+        self.uri, self.sizes = uri, sizes
         self.n_tokens, self.n_distinct, self.n_pairs, self.d, self.left1 = n_tokens, n_distinct, n_pairs, d, left1
 
     @property
@@ -230,8 +239,8 @@ class KneserNey:
         if order < 2:
             raise ValueError("a model has two levels at least")
         spark = texts.sparkSession
-        uri, shards = shared_folder(spark, "lm"), 2 * parts_for(spark)
         texts = texts.select(F.col(text).cast("string").alias("text"))
+        uri, shards = shared_folder(spark, "lm"), shards_for(texts)
 
         def words(batches):
             begun = False
@@ -239,35 +248,37 @@ class KneserNey:
                 begun = True
                 yield out
             if begun:  # the beginning is no token, but has a place
-                rows = by_shard(shards, np.array([BEGIN], U64), np.zeros(1, np.uint32))
+                rows = by_shard(shards, np.array([BEGIN], U64), np.zeros(1, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
         def store_words(key, table):
-            keys, counts = _merge(table, "u4")
+            keys, counts = _merge(table)
             s = key[0].as_py()
-            write_shard(f"{uri}/1", s, key=keys, count=counts.astype(np.uint64))
+            write_shard(f"{uri}/1", s, key=keys, count=counts)
             return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())], "distinct": [int((counts > 0).sum())]})
 
         for level in range(1, order + 1):
-            _folder(spark, f"{uri}/{level}")
+            inner_folder(spark, f"{uri}/{level}")
         rows = texts.mapInArrow(words, BLOBS).groupBy("shard").applyInArrow(store_words, "shard int, n long, tokens long, distinct long").collect()  # a row for each shard
         n_tokens, n_distinct = sum(r.tokens for r in rows), sum(r.distinct for r in rows)
         sizes = [_sizes(rows, shards)]
         for level in range(2, order + 1):
             rows = _count_level(texts, uri, shards, sizes, level)
             sizes.append(_sizes(rows, shards))
+            release_shuffles(spark)  # the level's arrays hold what its shuffle carried
         d = [[0.0] * 3] * order
         d[-1] = discounts([sum(r.counts[k] for r in rows) for k in range(4)])
         for level in range(order, 1, -1):
             n = _sum_level(spark, uri, shards, sizes, level, "count" if level == order else "after", d[level - 1])
             d[level - 2] = discounts(n[:4])
+            release_shuffles(spark)
         n_pairs = n[5]
         left1 = (d[0][0] * n[0] + d[0][1] * n[1] + d[0][2] * n[4]) / n_pairs if n_pairs else 1.0
-        return cls(uri, shards, sizes, n_tokens, n_distinct, n_pairs, d, left1)
+        return cls(uri, sizes, n_tokens, n_distinct, n_pairs, d, left1)
 
     def score_tokens(self, t: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The training count and the model's log10 probability of each token."""
-        one = HashArrays.at(f"{self.uri}/1", self.shards, LEVEL1)
+        one = HashArrays.at(f"{self.uri}/1", self.sizes[0], LEVEL1)
         place = Place(self.sizes[0])
         if not self.n_tokens:
             return np.zeros(len(t), np.uint64), np.full(len(t), -np.log10(self.n_distinct + 1))
@@ -285,7 +296,7 @@ class KneserNey:
             key = mix64(first[on].astype(U64) << U64(32) | np.maximum(second[on], 0).astype(U64))
             top = level == self.order
             names = ("count",) if top else ("after", "total", "left", "at")
-            found, seen, *more = _lookup(HashArrays.at(f"{self.uri}/{level}", self.shards, LEVEL2 if top else MIDDLE), key, *names)
+            found, seen, *more = _lookup(HashArrays.at(f"{self.uri}/{level}", self.sizes[level - 1], LEVEL2 if top else MIDDLE), key, *names)
             found &= second[on] >= 0
             p[on] = _discounted(np.where(found, seen, 0).astype(np.float64), self.d[level - 1]) / total[on] + left[on] * p[on]
             if top:
@@ -304,7 +315,8 @@ class KneserNey:
         out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_tokens long, n_known long, base_score double, score double"])
 
         def scored(batches):
-            for batch in batches:
+            begin_stage(model.uri)
+            for batch in small_batches(batches, CHUNK):
                 texts = batch.column(0)
                 for first, data, offsets in chunks(texts, CHUNK):
                     t, bounds = tokens(data, offsets)
@@ -321,11 +333,6 @@ def pack_columns(*arrays: np.ndarray) -> bytes:
     return pack(*(a.astype(np.uint64) for a in arrays))
 
 
-def _folder(spark, uri: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
-
-
 def held_out(key: Column, every: int = 7, rest: int = 2) -> Column:
     """Whether a row is kept from training: crc32 of its key as text, modulo `every`, is `rest`."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % every == rest

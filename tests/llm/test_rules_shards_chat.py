@@ -183,35 +183,51 @@ def plain_distance(pattern, text):
     return int(d.min())
 
 
+def plain_match(pattern, text):
+    """The least edits within the budget, or None; of a pattern too short to have one: 0 where it stands between no letters or digits."""
+    if len(pattern) >= 10:
+        e = plain_distance(pattern, text)
+        return e if e <= len(pattern) // 10 else None
+    ends = (k + len(pattern) for k in range(len(text)) if text.startswith(pattern, k) and not text[:k][-1:].isalnum())
+    return 0 if any(not text[e : e + 1].isalnum() for e in ends) else None
+
+
 def edited(r, text, n):
     for _ in range(n):
-        k, c = r.randrange(len(text)), r.random()
+        k, c = r.randrange(len(text) + 1), r.random()
         text = text[:k] + (r.choice("abcd ") if c < 0.7 else "") + text[k + (c < 0.4 or c >= 0.7) :]
     return text
 
 
 def test_matches_are_those_within_the_budget(spark):
     r = random.Random(4)
-    items = [(i, "".join(r.choice("abcd ") for _ in range(r.choice([10, 25, 40, 63])))) for i in range(12)] + [(12, None), (13, "")]
+    items = [(i, "".join(r.choice("abcd ") for _ in range(r.choice([2, 3, 9, 10, 19, 25, 40, 63])))) for i in range(14)] + [(20, None), (21, "")]
     docs = []
     for i in range(90):
         t = "".join(r.choice("abcd ") for _ in range(r.randrange(60)))
         for _ in range(r.randrange(3)):
-            _, item = r.choice(items[:12])
-            t += edited(r, item, r.choice([0, 1, 2, 4, 6, 8])).replace(" ", r.choice([" ", "\n ", "  "]))
+            _, item = r.choice(items[:14])
+            t += edited(r, item or "a", r.choice([0, 1, 2, 4, 6, 8])).replace(" ", r.choice([" ", "\n ", "  "]))
             t += "".join(r.choice("abcd ") for _ in range(r.randrange(20)))
         docs.append((i, t.upper() if i % 5 == 0 else t))
     expected = {}
     for i, t in docs:
         for k, p in items:
             p = decontam.normal(p)
-            if len(p) >= decontam.SHORTEST and (e := plain_distance(p, decontam.normal(t))) <= len(p) // decontam.RATE:
+            if p and (e := plain_match(p, decontam.normal(t))) is not None:
                 expected[i, k] = e
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for most in (decontam.BLOCK, 60):  # in one block of items, and in several
         got = decontam.find_items(*frames, most=most).collect()
         assert {(x.doc_id, x.item_id): x.edits for x in got} == expected and len(got) == len(expected)
     assert 10 < len(expected) and len(set(expected.values())) > 2
+    assert any(len(decontam.normal(dict(items)[k])) < 10 for _, k in expected)
+
+
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "What is 2 + 2? Four."), (2, "a"), (3, "日本語")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So: what is  2 + 2?\nFOUR."), (2, "cat bar"), (3, "(a)"), (4, "x 日本語。"), (5, "日本語学")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_items(docs, items).collect()} == {(1, 1), (3, 2), (4, 3)}
 
 
 def test_decontamination_of_odd_and_empty_tables(spark):
