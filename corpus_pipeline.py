@@ -16,7 +16,7 @@ from siltstream.llm.tokencount import PIECES
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that fail the base rule or meet a learned rule go; so do null and empty texts, which have no words."""
+    """Rows that fail the base rule or meet a learned rule go; so do null and empty texts, which have no words. Repeated rows share their verdict; an empty table gives an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     picked = rules.sample_labels(labels).select(F.col("_k").alias("_key")).distinct()
     sample = docs.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text")).join(F.broadcast(picked), "_key")  # rules.LABELLED keys at most
@@ -27,29 +27,45 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of a line go; so does a row that had words and has none left. n_chars follows the text."""
+    """Later copies of a line go; so does a row that had words and has none left. n_chars, if there is one, follows the text. A null or empty text stays; rows that repeat key and text are one document; an empty table gives an empty one."""
     out = linededup.dedup_lines(docs)
     word = r"[^\x09-\x0D\x20]"
-    emptied = (F.col("_ld_equal") + F.col("_ld_near") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(word)
-    return out.where(~emptied).withColumn("n_chars", F.when(F.col("_ld_equal") + F.col("_ld_near") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    changed = F.col("_ld_equal") + F.col("_ld_near") > 0
+    out = out.where(~(changed & ~F.coalesce(F.col("text"), F.lit("")).rlike(word)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """The rows as `row`, beside `rid`, a 64-bit hash of doc_id and text: rows that repeat both are one document."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("rid"))
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (0.8 or more alike) the one of least doc_id stays; rows with one doc_id are one document, of which the row of least text stays. Rows without doc_id stay."""
-    groups = jaccard.group_documents(docs, size=5, percent=80)
-    later = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    of_key = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return docs.join(later, "doc_id", "left_anti").withColumn("_n", F.row_number().over(of_key)).where("_n = 1 or doc_id is null").select(*docs.columns)
+    """Of documents linked by five-word shingles (0.8 or more alike) the one of least doc_id (then of least hash) stays, one without doc_id only if none has one. Of rows that repeat doc_id and text one stays, the least by its other columns as text. Unlike rows that share a doc_id stay apart. Null and empty texts are alike to nothing; an empty table gives an empty one."""
+    named = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+    groups = jaccard.group_documents(named, size=5, percent=80, key="rid").select("rid", "component_id")
+    linked = through_table(groups.where("component_id <> rid").unionByName(groups.where("component_id <> rid").select(F.col("component_id").alias("rid"), "component_id")).distinct(), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("rid").alias("c"))
+    first = named.select("rid", "doc_id").join(linked, "rid").groupBy("component_id").agg(F.min(order)["c"].alias("first"))
+    later = linked.join(first, "component_id").where("rid <> first").select("rid", F.lit(True).alias("later"))
+    again = named.select("rid").groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rid", F.lit(False).alias("later"))
+    flags = through_table(later.unionByName(again).groupBy("rid").agg(F.max("later").alias("later")), "flags")
+    rows = _identified(docs).join(flags, "rid", "left").where("later is null or not later")
+    one = rows.where("later is not null").groupBy("rid").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.where("later is null").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds an item of the benchmark, but for a tenth of its characters, go."""
-    found = decontam.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    """Rows whose text holds an item of the benchmark, but for a tenth of its characters, go; rows with the same doc_id and another text stay, and so do null and empty texts. An empty table gives an empty one."""
+    named = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text")
+    found = through_table(decontam.find_items(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="rid").select("rid").distinct(), "held")
+    return _identified(docs).join(found, "rid", "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct segmentations of each text, drawn without replacement: a row for each, with its ids. A null or empty text has one, without ids."""
+    """Two distinct segmentations of each text, drawn without replacement: a row for each, with its ids. A null or empty text, and one that can be cut in one way only, has one. Rows that repeat key and text repeat their samples; an empty table gives an empty one. Other columns are not read."""
     return sampling.sample_segmentations(docs, Vocabulary.read(PIECES).zipf())
 
 
