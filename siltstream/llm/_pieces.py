@@ -7,11 +7,12 @@ often repeated, and each distinct unit of a chunk is worked on once.
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 
 import numpy as np
 
-from ._shared import cache
+from ._shared import cache, map_file, read_file, shared_folder, write_file
 
 MARK = "▁"
 #: What a character that is no piece costs below the least score, as the public unigram encoder has it.
@@ -170,15 +171,28 @@ class Automaton:
         return out_score, out_count
 
 
-_made: dict[int, Automaton] = cache()
+_made: dict[str, Automaton] = cache()
 
 
-def automaton(key: int, vocabulary: Vocabulary) -> Automaton:
-    """The vocabulary's automaton, made once in each worker process."""
-    if key not in _made:
+def shared_automaton(spark, vocabulary: Vocabulary) -> str:
+    """Makes the vocabulary's automaton, whose size is the vocabulary's, and puts it in the shared folder: its URI."""
+    uri = shared_folder(spark, "automaton")
+    machine = Automaton(vocabulary)
+    write_file(f"{uri}/goto", np.ascontiguousarray(machine.goto).data)
+    rest = dict(vars(machine), goto=machine.goto.shape)
+    write_file(f"{uri}/rest", pickle.dumps(rest))
+    return uri
+
+
+def automaton(uri: str) -> Automaton:
+    """The automaton at a URI, its table mapped into memory: all workers of a machine have one copy."""
+    if uri not in _made:
         _made.clear()
-        _made[key] = Automaton(vocabulary)
-    return _made[key]
+        machine = Automaton.__new__(Automaton)
+        vars(machine).update(pickle.loads(read_file(f"{uri}/rest")))
+        machine.goto = map_file(f"{uri}/goto", np.dtype(np.int32)).reshape(machine.goto)
+        _made[uri] = machine
+    return _made[uri]
 
 
 def marked(column, offset_text: str = " "):

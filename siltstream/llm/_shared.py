@@ -145,6 +145,23 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def map_file(uri: str, kind: np.dtype) -> np.ndarray:
+    """A file of the shared folder, mapped into memory. It raises, if the file isn't there: the folder is not shared."""
+    path = _local(uri)
+    if path:
+        f = open(path, "rb")
+    else:
+        files, at = pafs.FileSystem.from_uri(uri)
+        f = tempfile.TemporaryFile()  # has no name: it goes with its map
+        with files.open_input_stream(at) as source:
+            while block := source.read(1 << 20):
+                f.write(block)
+        f.flush()
+    with f:
+        size = os.fstat(f.fileno()).st_size
+        return np.frombuffer(mmap.mmap(f.fileno(), size, prot=mmap.PROT_READ), kind) if size else np.zeros(0, kind)
+
+
 def narrowed(a: np.ndarray) -> np.ndarray:
     """Unsigned numbers in as few bytes as the largest needs."""
     most = int(a.max()) if len(a) else 0
@@ -184,21 +201,11 @@ class HashArrays:
         return self.maps[shard, name]
 
     def _map(self, uri: str, n: int, kind: np.dtype) -> np.ndarray:
-        path = _local(uri)
-        if path:
-            f = open(path, "rb")  # raises, if the shard's file isn't here: the folder is not shared
-        else:
-            files, at = pafs.FileSystem.from_uri(uri)
-            f = tempfile.TemporaryFile()  # has no name: it goes with its map
-            with files.open_input_stream(at) as source:
-                while block := source.read(1 << 20):
-                    f.write(block)
-            f.flush()
-        with f:
-            size = os.fstat(f.fileno()).st_size
-            if size % n or not size // n <= kind.itemsize or kind.kind != "u" and size // n != kind.itemsize:
-                raise OSError(f"{uri} has {size} bytes for {n} keys")
-            return np.frombuffer(mmap.mmap(f.fileno(), size, prot=mmap.PROT_READ), np.dtype(f"{kind.kind}{size // n}"))
+        raw = map_file(uri, np.dtype(np.uint8))
+        size = len(raw)
+        if size % n or not size // n <= kind.itemsize or kind.kind != "u" and size // n != kind.itemsize:
+            raise OSError(f"{uri} has {size} bytes for {n} keys")
+        return raw.view(f"{kind.kind}{size // n}")
 
     def find(self, keys: np.ndarray, *names: str, missing=0) -> list[np.ndarray]:
         """Whether each of the sorted distinct keys is there, then its values (`missing`, if not). The column "at" is its place: shard << 40 | index."""

@@ -487,3 +487,21 @@ def _group(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+classes AS (SELECT doc_id, s, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS class_id FROM sets),
+one AS (SELECT class_id, any_value(s) AS s FROM classes WHERE len(s) > 0 GROUP BY class_id),
+shingles AS (SELECT class_id, len(s) AS n, hash(unnest(s)) AS g FROM one),
+pairs AS (SELECT a.class_id AS x, b.class_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS both_ FROM shingles a JOIN shingles b ON a.g = b.g AND a.class_id < b.class_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 100 * both_ >= 85 * (n + m - both_)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, near) AS (SELECT class_id, class_id FROM one UNION SELECT r.node, e.y FROM reach r JOIN edges e ON e.x = r.near),
+components AS (SELECT node, min(near) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, class_id, coalesce(component_id, class_id) AS component_id FROM classes LEFT JOIN components ON node = class_id
+"""

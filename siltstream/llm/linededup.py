@@ -20,7 +20,7 @@ are one document here: what goes from one goes from the other.
 Not done: a bound that grows with a line's length. Long lines two or more edits apart both stay.
 
 Defined results: a null or empty text has no lines that count, and stays; so do blank lines. A line that stays keeps its bytes.
-Where lines go, the rest is joined as it stood. Columns of the documents are kept, whatever their
+A text of any length is done whole, in memory that grows with its own length. Where lines go, the rest is joined as it stood. Columns of the documents are kept, whatever their
 names but for those that begin with "_ld_". An empty table gives an empty one.
 """
 
@@ -202,7 +202,9 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, the text without the lines that go, and _ld_lines, _ld_equal, _ld_near: how many lines the text had, and how many went as equal or near."""
-    gone = find_copies(docs, key, text).groupBy("row").agg(F.collect_list("number").alias("_ld_gone"), F.count_if(~F.col("near")).alias("_ld_equal"), F.count_if("near").alias("_ld_near"))
+    # of rows that repeat key and text each names the same lines: a set, so that they count once, and no list grows with their number
+    gone = find_copies(docs, key, text).groupBy("row").agg(F.collect_set(F.struct("number", "near")).alias("_ld_set"))
+    gone = gone.select("row", F.col("_ld_set.number").alias("_ld_gone"), F.size(F.filter("_ld_set", lambda x: ~x["near"])).alias("_ld_equal"), F.size(F.filter("_ld_set", lambda x: x["near"])).alias("_ld_near"))
     marked = docs.withColumn("_ld_row", F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")))
     joined = marked.join(gone.withColumnRenamed("row", "_ld_row"), "_ld_row", "left")
     split = F.split(F.col(text).cast("string"), "\n")
@@ -218,3 +220,22 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_equal").alias("n_equal"), F.col("_ld_near").alias("n_near"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+#: Words joined by a space stand for a line; `slot` is the place of the word that a variant lacks.
+OP4_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS number FROM documents),
+split_ AS (SELECT *, list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM pieces),
+lines AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS line, row_number() OVER (ORDER BY doc_id, number) AS place FROM split_),
+firsts AS (SELECT line, any_value(w) AS w, any_value(n) AS n, min(place) AS first FROM lines WHERE n > 0 GROUP BY line),
+variants AS (SELECT line, n, first, slot, array_to_string(list_concat(w[1 : slot - 1], w[slot + 1 : n]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS slot FROM firsts WHERE n >= 5)),
+changed AS (SELECT v, slot, min(first) AS e FROM variants GROUP BY v, slot),
+near AS (
+  SELECT line FROM variants JOIN changed USING (v, slot) WHERE e < first
+  UNION SELECT a.line FROM variants a JOIN firsts b ON a.v = b.line WHERE b.first < a.first
+  UNION SELECT b.line FROM variants a JOIN firsts b ON a.v = b.line WHERE a.first < b.first),
+judged AS (SELECT l.*, l.n > 0 AND l.place > f.first AS is_equal, l.place = f.first AND l.line IN (SELECT line FROM near) AS is_near FROM lines l LEFT JOIN firsts f USING (line))
+SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (is_equal) AS n_equal, count(*) FILTER (is_near) AS n_near,
+  md5(coalesce(string_agg(raw, chr(10) ORDER BY number) FILTER (NOT coalesce(is_equal, false) AND NOT coalesce(is_near, false)), '')) AS text_md5 FROM judged GROUP BY doc_id
+"""

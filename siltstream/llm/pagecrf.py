@@ -13,8 +13,9 @@ parameters; nothing is learned from the pages that are extracted.
 
 Defined results: null, empty or textless html gives an empty text. Unclosed and misnested tags, stray <, and
 unfinished comments are read as browsers do, as far as text goes. Blocks are whole, in page order, one space
-between; white space inside is one space; character references are decoded. One row out for one row in.
-Columns other than those asked for are not read.
+between; white space inside is one space; character references are decoded. A page of any length is read whole, in
+time and memory that grow with its own length. Of equally likely labels a block is not main. One row out for one row
+in, repeated pages too; an empty table gives an empty one. Columns other than those asked for are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import small_batches
+from ._shared import begin_stage
+
 # Fixed values of the HTML standard: elements by kind.
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -48,13 +52,16 @@ CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+#: Whatever a < can begin. Nothing here backtracks, so a tag costs its own length.
 TAG = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)?|=)*+)>",
+    r"|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)?|=)*+)(?P<shut>>?)",
     re.DOTALL,
 )
+#: An open p ends where a block begins, unless one of these stands between.
+P_HOLDERS = ("td", "th", "table", "button", "article", "section", "div", "li")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-label|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 #: What the words of classes, ids and roles speak of.
 SPEAKS = {
@@ -95,111 +102,141 @@ def _length(n: int) -> str:
     return "1" if n < 2 else "2-4" if n < 5 else "5-9" if n < 10 else "10-19" if n < 20 else "20-49" if n < 50 else "50+"
 
 
+class Open:
+    """The open elements. Every step takes constant time on average, however deep they are: by name there are the places of the open ones; an inline element that ends below others stays as an empty place until those above it go."""
+
+    def __init__(self):
+        self.names: list[str | None] = []  # None: an empty place
+        self.features: list[tuple[str, ...]] = []  # of the element and those above
+        self.nearest: list[str] = []  # what the nearest element that tells says
+        self.holder: list[str] = []  # the nearest block
+        self.blocks: list[int] = []  # how many blocks there are up to here
+        self.at: dict[str, list[int]] = {}
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost of these that is open, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def push(self, name: str, features: tuple[str, ...], nearest: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        block = name in BLOCK
+        self.holder.append(name if block else self.holder[-1] if self.holder else "body")
+        self.blocks.append((self.blocks[-1] if self.blocks else 0) + block)
+        self.names.append(name)
+        self.features.append(features)
+        self.nearest.append(nearest)
+
+    def blocks_from(self, k: int) -> bool:
+        return self.blocks[-1] > (self.blocks[k - 1] if k else 0)
+
+    def cut(self, k: int) -> None:
+        """Ends the elements from place k."""
+        for name in self.names[k:]:
+            if name is not None:
+                self.at[name].pop()
+        for x in (self.names, self.features, self.nearest, self.holder, self.blocks):
+            del x[k:]
+
+    def end_inline(self, name: str) -> None:
+        """Ends the innermost of this name alone."""
+        self.names[self.at[name].pop()] = None
+        while self.names and self.names[-1] is None:
+            for x in (self.names, self.features, self.nearest, self.holder, self.blocks):
+                x.pop()
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks that have text, in order."""
+    """The page's leaf blocks that have text, in order. One pass forward, in time that grows with the page's length; as in browsers, a tag that the page's end cuts off is no text."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # elements with the features of themselves and those above
-    nearest: list[str] = []  # for each, what the nearest element that tells says
+    open_ = Open()
     parts: list[str] = []
-    linked = [0]
+    linked = 0
 
     def flush():
+        nonlocal linked
         if not parts:
             return
         text = " ".join(html.unescape("".join(parts)).split())
-        link = linked[0]
+        link = linked
         parts.clear()
-        linked[0] = 0
+        linked = 0
         if not text:
             return
-        holder = next((t for t, _ in reversed(stack) if t in BLOCK), "body")
         share = link / len(text)
         own = (
-            f"in {holder}",
+            f"in {open_.holder[-1] if open_.holder else 'body'}",
             f"words {_length(text.count(' ') + 1)}",
             "links " + ("none" if link == 0 else "some" if share < 0.5 else "most"),
             "stops" if text[-1] in ".!?…。\"”»" else "no stop",
-            f"nearest {nearest[-1] if nearest else 'nothing'}",
+            f"nearest {open_.nearest[-1] if open_.nearest else 'nothing'}",
             *(["copyright"] if "©" in text[:40] or "(c)" in text[:40].lower() else []),
             "bias",
         )
-        out.append(Block(text, (*(stack[-1][1] if stack else ()), *own)))
+        out.append(Block(text, (*(open_.features[-1] if open_.features else ()), *own)))
 
-    def pop_to(k: int) -> None:
-        if any(t in BLOCK for t, _ in stack[k:]):
+    def cut(k: int) -> None:
+        if open_.blocks_from(k):
             flush()
-        del stack[k:], nearest[k:]
+        open_.cut(k)
 
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
+        text = page[at : m.start() if m else n]
+        if text:
+            parts.append(text)
+            if open_.at.get("a"):
+                linked += len(text)
         if m is None:
-            parts.append(page[at:])
             break
-        if m.start() > at:
-            text = page[at : m.start()]
-            parts.append(text)
-            if any(t == "a" for t, *_ in stack):
-                linked[0] += len(text)
         at = m.end()
         name = m["name"]
         if name is None:
             if m[0].startswith("<![CDATA["):
                 parts.append(" ")
             continue
+        if not m["shut"]:
+            break
         name = name.lower()
         if m["end"]:
             if name == "br":
                 parts.append(" ")
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK:
-                        pop_to(k)
-                    else:
-                        del stack[k], nearest[k]
-                    break
-            else:
+            elif not open_.at.get(name):
                 if name in BLOCK:
                     flush()
+            elif name in BLOCK:
+                cut(open_.last(name))
+            else:
+                open_.end_inline(name)
             continue
         if name in SKIPPED:
             if name == "svg" and m["attrs"].rstrip().endswith("/"):
                 continue
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.IGNORECASE).search(page, at)
             at = close.end() if close else n
             if name in ("iframe", "video", "object"):
                 flush()
             continue
         if name in BLOCK:
-            if name != "option" and name != "button":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in ("td", "th", "table", "button", "article", "section", "div", "li"):
-                        break
+            if name != "option" and name != "button" and (k := open_.last("p")) > open_.last(*P_HOLDERS):
+                cut(k)
             flush()
             if name in CLOSES:
                 ends, within = CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in within:
-                        break
-        elif name == "br" or name in VOID:
-            parts.append(" " if name in ("br", "img", "input", "wbr") and name != "wbr" else "")
+                if (k := open_.last(*ends)) > open_.last(*within):
+                    cut(k)
+        elif name in VOID:
+            parts.append(" " if name in ("br", "img", "input") else "")
         if name in VOID:
             continue
-        above = stack[-1][1] if stack else ()
+        above = open_.features[-1] if open_.features else ()
         said = _words_of(m["attrs"])
         telling = [f for f in said if f != "says main"] or ([name] if name in TELLING else said)
-        nearest.append(telling[0] if telling else nearest[-1] if nearest else "nothing")
+        nearest = telling[0] if telling else open_.nearest[-1] if open_.nearest else "nothing"
         new = [f for f in ([f"under {name}"] if name in BLOCK else []) + said if f not in above]
-        stack.append((name, (*above, *dict.fromkeys(new))))
+        open_.push(name, (*above, *dict.fromkeys(new)), nearest)
     flush()
     return out
 
@@ -240,7 +277,8 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
                     [
                         lambda: tag("nav", f"<ul>{links(r.randint(2, 6))}</ul>"),
                         lambda: f'<div class="{r.choice(["menu", "navbar", "breadcrumb", "nav-links"])}"><ul>{links(r.randint(2, 6))}</ul></div>',
-                        lambda: f'<div class="{r.choice(["ad", "ads", "advert", "ad-banner", "sponsored", "promo-box"])}">{said()}</div>',
+                        lambda: f'<div{r.choice(["", " class=x1", " class=bar"])}>' + r.choice([" ", " | ", ""]).join(f'<a href="/{i}">{said(True)}</a>' for i in range(r.randint(2, 6))) + "</div>",
+                        lambda: f'<div class="{r.choice(["ad", "ads", "advert", "ad-banner", "sponsored", "promo-box"])}">{r.choice(["{}", "<p>{}</p>", "<p>{}</p><p>{}</p>", "<h3>{}</h3><p>{}</p>"]).replace("{}", said())}</div>',
                         lambda: f'<div class="{r.choice(["cookie-notice", "gdpr consent", "newsletter", "modal popup", "alert"])}" role="{r.choice(["alert", "dialog", ""])}"><p>{said()}</p><button>{said(True)}</button></div>',
                         lambda: f'<aside class="{r.choice(["sidebar", "related", "", "widget"])}"><h3>{said(True)}</h3><p>{said()}</p><ul>{links(3)}</ul></aside>',
                         lambda: f'<div class="{r.choice(["sidebar", "related-posts", "widget", "social share"])}"><h4>{said(True)}</h4><p>{said()}</p></div>',
@@ -260,7 +298,12 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
                 kind = r.random()
                 if kind < 0.62:
                     t = said(keep=True)
-                    parts.append(f"<p>{t}</p>" if r.random() < 0.85 else f"<p><b>{t}<br>")
+                    w = t.split(" ")
+                    if len(w) > 8 and r.random() < 0.3:  # with a link inside
+                        k = r.randrange(len(w) - 3)
+                        parts.append(f'<p>{" ".join(w[:k])} <a href="/y">{" ".join(w[k : k + 3])}</a> {" ".join(w[k + 3 :])}</p>')
+                    else:
+                        parts.append(f"<p>{t}</p>" if r.random() < 0.85 else f"<p><b>{t}<br>")
                 elif kind < 0.72:
                     h = r.choice(["h2", "h3"])
                     parts.append(f"<{h}>{said(True, True)}</{h}>")
@@ -272,7 +315,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
                     parts.append(f"<pre>{said(keep=True)}</pre>")
                 elif kind < 0.91:
                     parts.append(f"<table><tr><td>{said(True, True)}</td><td>{said(True, True)}</td></tr></table>")
-                elif kind < 0.94:
+                elif kind < 0.92:
                     parts.append(f"<div>{said(keep=True)}</div>")
                 else:
                     parts.append(others(1))
@@ -418,7 +461,8 @@ def extract_pages(pages: DataFrame, field: ChainField, keep: tuple[str, ...] = (
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
 
     def extracted(batches):
-        for batch in batches:
+        begin_stage("pages")
+        for batch in small_batches(batches, 4 << 20):
             texts = [main_text(field, x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
@@ -427,3 +471,11 @@ def extract_pages(pages: DataFrame, field: ChainField, keep: tuple[str, ...] = (
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), trained())
+
+
+#: What the tables' pages hold as their article; of the references only those that occur there.
+OP10_SQL = r"""
+WITH inner_html AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+plain AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM inner_html)
+SELECT page_id, url, text, length(text) AS n_chars FROM plain
+"""

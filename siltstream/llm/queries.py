@@ -18,5 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_rendezvous_sharding": sharding.OP2_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
+    "op4_line_dedup": linededup.OP4_SQL,
+    "op8_ngram_jaccard_join": jaccard.OP8_SQL,
+    "op10_html_extraction": pagecrf.OP10_SQL,
 }

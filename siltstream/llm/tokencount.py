@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import chunks, span_hashes
-from ._pieces import Vocabulary, automaton, marked
+from ._bytes import chunks, small_batches, span_hashes
+from ._pieces import Vocabulary, automaton, marked, shared_automaton
+from ._shared import begin_stage
 
 #: The vocabulary's place; no file of it is in this repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,11 +32,12 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, n_tokens and token_score for each row of docs."""
     kind = docs.schema[key].dataType.simpleString()
-    name = hash(tuple(vocabulary.scores.items()))
+    uri = shared_automaton(docs.sparkSession, vocabulary)
 
     def counted(batches):
-        machine = automaton(name, vocabulary)
-        for batch in batches:
+        begin_stage(uri)
+        machine = automaton(uri)
+        for batch in small_batches(batches):
             texts = marked(batch.column(0))
             for first, data, offsets in chunks(texts):
                 start, end, bounds = machine.units(data, offsets)

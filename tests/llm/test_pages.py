@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,42 @@ def test_blocks(page, texts):
     assert [b.text for b in pagecrf.blocks(page)] == texts
 
 
+@pytest.mark.parametrize("piece", ["<script ", "</p x ", "<a x ", "<b>x", "<div>x", "<p>x<i>", "<b><i></b>", "<li>x<ul>", "<a x=\"> '", "&amp "])
+def test_the_reader_takes_time_in_proportion(piece):
+    began = time.perf_counter()
+    pagecrf.blocks(piece * (400_000 // len(piece)))
+    assert time.perf_counter() - began < 15  # seconds; a quadratic reader would take many minutes
+
+
+#: Pages by other hands: layouts that the grammar doesn't write, with the article's text.
+FOREIGN = [
+    (
+        """<html><head><title>t</title></head><body id="top"><div id="page"><header id="masthead"><a href="/">Site name</a><nav class="main-navigation"><ul><li><a href="/a">Home</a><li><a href="/b">About us</a></ul></nav></header>
+        <div class="site-content"><main id="primary"><article id="post-12" class="post type-post"><header class="entry-header"><h1 class="entry-title">A walk by the sea</h1></header>
+        <div class="entry-content"><p>We set out early, while the harbour was still dark.</p><p>By noon the tide had turned, and we ate on the rocks.</p><figure><img src="x.jpg"><figcaption>The rocks at noon.</figcaption></figure></div></article>
+        <section id="comments" class="comments-area"><h2>2 thoughts</h2><ol><li class="comment"><p>Lovely, thank you for this.</p></li></ol><form><label>Name</label><input></form></section></main>
+        <aside id="secondary" class="widget-area"><h3>Recent posts</h3><ul><li><a href="/x">Another walk</a></li></ul></aside></div><footer class="site-footer">&copy; 2020 Site name</footer></div></body></html>""",
+        "A walk by the sea We set out early, while the harbour was still dark. By noon the tide had turned, and we ate on the rocks. The rocks at noon.",
+    ),
+    (
+        """<body><div class="cookie-banner"><p>We use cookies.</p><button>Accept</button></div><div class="topnav"><a href=1>News</a> <a href=2>Sport</a></div><div role="main"><h1>Council votes on bridge</h1>
+        <p>The council voted on Monday to repair the old bridge.</p><div class="advert"><p>Buy one, get one free, today only.</p></div><p>Work will begin in spring &amp; last a year.</p><blockquote><p>It was high time, said the mayor.</p></blockquote></div>
+        <div class="related"><h3>More news</h3><p><a href=3>Floods in the north</a></p></div><div id="footer"><p>All rights reserved.</p></div></body>""",
+        "Council votes on bridge The council voted on Monday to repair the old bridge. Work will begin in spring & last a year. It was high time, said the mayor.",
+    ),
+    (
+        """<html><body><nav role="navigation"><ul><li><a href="#">Docs</a></li></ul></nav><div class="newsletter"><p>Sign up for our newsletter.</p><form><input><button>Send</button></form></div><article><h1>Install</h1><p>Run the program once.</p><pre>make all</pre>
+        <ul><li>First step.</li><li>Second step.</li></ul><table><tr><td>Size</td><td>Ten</td></tr></table></article><div class="comments"><p>Did not work for me at all, sadly.</p></div><footer><a href="#">Imprint</a></footer></body></html>""",
+        "Install Run the program once. make all First step. Second step. Size Ten",
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), FOREIGN)
+def test_foreign_layouts(field, page, text):
+    assert pagecrf.main_text(field, page) == text
+
+
 def test_tables_pages_give_their_articles(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").join(pagecrf.op10_html_extraction(spark, sf_dir), ["page_id", "url"]).collect():
         article = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]

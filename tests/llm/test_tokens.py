@@ -155,9 +155,9 @@ def every(text):
     return {k: v - total for k, v in out.items()}
 
 
-def drawn(text, keys, k):
-    machine = Automaton(SMALL)
-    speller = sampling.Speller(machine, SMALL)
+def drawn(text, keys, k, vocabulary=SMALL):
+    machine = Automaton(vocabulary)
+    speller = sampling.Speller(machine, vocabulary)
     whole = np.frombuffer(text.encode(), np.uint8)
     data, offsets = np.tile(whole, len(keys)), np.arange(len(keys) + 1) * len(whole)
     for row, found in enumerate(sampling._search(machine, data, offsets, np.asarray(keys, np.uint64), k)):
@@ -200,6 +200,17 @@ def test_all_segmentations_are_found_when_there_are_few(text):
     assert len(found) == len({x[0] for x in found})
 
 
+@pytest.mark.parametrize("score", [-10.0, -20.0, -60.0, -400.0, -900.0])
+@pytest.mark.parametrize(("text", "ways"), [(" ab", 2), (" ab ab", 4), (" ab ab ab ab", 16)])
+def test_no_segmentation_is_lost_because_it_is_unlikely(score, text, ways):
+    vocabulary = Vocabulary({1: b" ", 2: b"a", 3: b"b", 4: b"ab"}, {1: -1.0, 2: score, 3: score, 4: -1.0}, {b: 100 + b for b in range(256)})
+    for key in range(20):
+        (found,) = drawn(text, [key], 40, vocabulary)
+        assert len(found) == ways == len({x[0] for x in found})
+        assert [x[2] for x in found] == sorted((x[2] for x in found), reverse=True)
+        assert {x[3] for x in found} == {-np.inf}
+
+
 def test_samples_depend_on_the_row_alone(spark):
     rows = [(i, f"abab ba ab {'ab ' * (i % 5)}") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
