@@ -40,22 +40,31 @@ def crc16_after_shift(data: bytes, polynomial: int = CRC16_MLP) -> int:
     return crc(data[:-2], polynomial, 16) ^ int.from_bytes(data[-2:], "big")
 
 
+def crcs(values: list[bytes | None], polynomial: int, bits: int, start: int = 0) -> list[int | None]:
+    """crc() of many values, a byte of all of them at each step."""
+    known = [i for i, v in enumerate(values) if v is not None]
+    known.sort(key=lambda i: -len(values[i]))
+    lengths = np.array([len(values[i]) for i in known], np.int64)
+    first = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(known) else np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(values[i] for i in known), np.uint8)
+    table, mask = crc_table(polynomial, bits), np.uint32((1 << bits) - 1)
+    r = np.full(len(known), start, np.uint32)
+    for t in range(int(lengths[0]) if len(known) else 0):
+        live = int(np.searchsorted(-lengths, -t, "left"))  # longer than t
+        x = r[:live]
+        r[:live] = (x << np.uint32(8) ^ table[(x >> np.uint32(bits - 8)) ^ data[first[:live] + t]]) & mask
+    out: list[int | None] = [None] * len(values)
+    for i, x in zip(known, r.tolist(), strict=True):
+        out[i] = x
+    return out
+
+
 def crc_column(data: Column, polynomial: int, bits: int, start: int = 0) -> Column:
     """crc() of binary values, in Arrow batches; null of null."""
-    table, mask = crc_table(polynomial, bits).tolist(), (1 << bits) - 1
 
     @F.pandas_udf("long")
     def of(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            if v is None:
-                out.append(None)
-                continue
-            r = start
-            for b in v:
-                r = (r << 8 ^ table[(r >> (bits - 8)) ^ b]) & mask
-            out.append(r)
-        return pd.Series(out, dtype="Int64")
+        return pd.Series(crcs([None if v is None else bytes(v) for v in values], polynomial, bits, start), dtype="Int64")
 
     return of(data)
 

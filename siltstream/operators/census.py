@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .findings import small
 
 
 def value_counts(df: DataFrame, value: str, low: int, high: int, by: Sequence[str] = ()) -> DataFrame:
@@ -81,11 +80,23 @@ def publishable(df: DataFrame, by: Sequence[str], item: str, most: int = 3) -> D
     return sizes.join(listed, list(by), "left").select(*by, "n", "items")
 
 
+def _median(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """The exact median of values that occur `n` times each: what stands in the middle of the running sums. Each distinct value is one row, in a sort that can spill."""
+    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_up", F.sum("n").over(up_to))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
+    placed = placed.join(totals, list(by)) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    low, high = (F.min(F.when(F.col("_up") * 2 > F.col("_all") + k, F.col(value))) for k in (-1, 0))
+    return placed.groupBy(*by).agg(((low + high) / 2).alias("median"))
+
+
 def median_mad(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """The exact median and the median absolute deviation from it."""
-    medians = df.groupBy(*by).agg(F.median(value).alias("median"))
-    joined = df.join(small(medians), list(by)) if by else df.crossJoin(F.broadcast(medians))  # one row
-    return joined.groupBy(*by, "median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    """The exact median and the median absolute deviation from it; nulls don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    medians = _median(counts, "_v", by)
+    joined = counts.join(medians, list(by)) if by else counts.crossJoin(F.broadcast(medians))  # one row
+    away = joined.groupBy(*by, "median", F.abs(F.col("_v") - F.col("median")).alias("_d")).agg(F.sum("n").alias("n"))
+    return _median(away.withColumnRenamed("median", "_m"), "_d", [*by, "_m"]).select(*by, F.col("_m").alias("median"), F.col("median").alias("mad"))
 
 
 def peak_first(df: DataFrame, value: str, place: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
