@@ -679,3 +679,4 @@ def stream_regions(spark, d):
 
 
 from . import reporting  # noqa: E402, F401  its queries join these
+from . import parsing  # noqa: E402, F401

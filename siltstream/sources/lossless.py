@@ -114,3 +114,83 @@ def units_of(files: DataFrame, path: str = "path", content: str = "content") ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns if found else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(scanned, "path string, unit long, offset long, kind string, bytes binary, timing long, major_sync boolean, resynced boolean, gap long, crc_failures long")
+
+
+# -- headers
+
+RATE_NONE = 15
+
+
+def unit_header(data) -> dict:
+    """The first four bytes of a unit, as columns: check_nibble, length (bytes), timing. data: a binary column."""
+    word = F.conv(F.hex(F.substring(data, 1, 4)), 16, 10).cast("long")
+    return {"check_nibble": F.shiftright(word, 28).cast("int"), "length": (F.shiftright(word, 16).bitwiseAND(4095) * 2).cast("int"), "timing": word.bitwiseAND(65_535).cast("int")}
+
+
+@dataclass
+class Segment:
+    """A directory's entry: where a substream ends (bytes from the directory's end), and its flags."""
+
+    end: int
+    extra_word: bool
+    restart: bool
+    crc: bool
+    gain: int | None  # the extra word's upper bits
+
+
+def directory(unit: bytes, sync: int, substreams: int) -> list[Segment]:
+    """The directory behind a unit's header and major sync (of `sync` bytes)."""
+    at, out = 4 + sync, []
+    for _ in range(substreams):
+        if at + 2 > len(unit):
+            raise EOFError("the directory is cut off")
+        word = unit[at] << 8 | unit[at + 1]
+        at += 2
+        extra = bool(word & 0x8000)
+        more = int.from_bytes(unit[at : at + 2], "big") >> 7 if extra else None
+        at += 2 * extra
+        out.append(Segment(2 * (word & 0xFFF), extra, not word & 0x4000, bool(word & 0x2000), more))
+    return out
+
+
+@dataclass
+class StreamConfig:
+    syntax: str  # fba or fbb
+    rate: int
+    samples: int  # of a unit
+    flags: int
+    variable: bool
+    peak: int  # bits a second
+    substreams: int
+    substream_info: int
+
+
+def stream_config(sync: bytes) -> StreamConfig:
+    """What a major sync says of its stream."""
+    code = sync[4] >> 4
+    if code == RATE_NONE or code & 7 > 2:
+        raise ValueError("no sampling rate has this code")
+    rate = (44_100 if code & 8 else 48_000) << (code & 7)
+    word = sync[14] << 8 | sync[15]
+    return StreamConfig("fba" if sync[3] == 0xBA else "fbb", rate, 40 << (code & 7), sync[10] << 8 | sync[11], bool(word & 0x8000), ((word & 0x7FFF) * rate + 8) >> 4, sync[16] >> 4, sync[17])
+
+
+def configs_of(df: DataFrame, keys: list[str], sync: str) -> DataFrame:
+    """keys and the configuration that each major sync in a binary column declares; nulls where its code names no rate."""
+    names = ["syntax", "rate", "samples", "flags", "variable", "peak", "substreams", "substream_info"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for data in batch.column(len(keys)):
+                try:
+                    c = stream_config(data.as_py() or b"")
+                    rows.append(tuple(getattr(c, n) for n in names))
+                except (ValueError, IndexError):
+                    rows.append((None,) * len(names))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*keys, *names])
+
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "syntax string, rate long, samples long, flags long, variable boolean, peak long, substreams long, substream_info long"])
+    return df.select(*keys, F.col(sync)).mapInArrow(read, schema)

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalars import CRC16_ATSC, crc
+from .bits import BitReader
 
 SYNC = b"\x0b\x77"
 # Fixed values of the AC-3 standard: kilobits a second by half the size code, and sampling rates.
 KILOBITS = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
 RATES = (48_000, 44_100, 32_000)
 BLOCKS = (1, 2, 3, 6)
+#: Channels of each mode, without the low-frequency one.
+MODES = (2, 1, 2, 3, 3, 4, 4, 5)
 
 
 @dataclass
@@ -97,6 +100,90 @@ def frames(stream: io.BufferedIOBase, block: int = 1 << 20) -> Iterator[tuple[in
         yield gap, b"", None
 
 
+@dataclass
+class StreamInformation:
+    """The beginning of a frame's stream information."""
+
+    identification: int
+    mode: int  # of the channels
+    lfe: bool
+    level: int  # of dialogue, in dB below full scale
+    compression: int | None
+    channel_map: int | None  # of a dependent stream
+    channels: int
+
+
+def stream_information(frame: bytes) -> StreamInformation | None:
+    """Null where no frame begins; raises EOFError where it is cut off within what is read here."""
+    header = frame_header(frame[:8])
+    if header is None:
+        return None
+    r = BitReader(frame[:32], 16)
+    if header.extended:
+        r.read(2 + 3 + 11)
+        rate = r.read(2)
+        r.read(2)
+        mode, lfe, identification = r.read(3), r.read(1), r.read(5)
+        del rate
+    else:
+        r.read(16 + 2 + 6)
+        identification, _, mode = r.read(5), r.read(3), r.read(3)
+        if mode & 1 and mode != 1:
+            r.read(2)  # level of the centre
+        if mode & 4:
+            r.read(2)  # of the surrounds
+        if mode == 2:
+            r.read(2)  # matrix surround
+        lfe = r.read(1)
+    level = r.read(5)
+    compression = r.read(8) if r.read(1) else None
+    channel_map = None
+    if header.extended:
+        if mode == 0:
+            r.read(5)
+            if r.read(1):
+                r.read(8)
+        if header.stream_type == 1 and r.read(1):
+            channel_map = r.read(16)
+    return StreamInformation(identification, mode, bool(lfe), level or 31, compression, channel_map, MODES[mode] + lfe)
+
+
+def codec_of(head: bytes) -> str | None:
+    """What a file's first bytes begin: truehd, eac3, ac3, wave, caf, or null."""
+    if head[4:8] in (b"\xf8\x72\x6f\xba", b"\xf8\x72\x6f\xbb"):
+        return "truehd" if head[7] == 0xBA else "mlp"
+    if head[:2] == SYNC and (header := frame_header(head)):
+        return "eac3" if header.extended else "ac3"
+    return "wave" if head[:4] in (b"RIFF", b"RF64") and head[8:12] == b"WAVE" else "caf" if head[:4] == b"caff" else None
+
+
+def is_family(codec: str | None) -> bool:
+    """Whether a codec is of the family that frames() reads."""
+    return codec in ("ac3", "eac3")
+
+
+def described(frames_: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """keys, codec and the stream information of frames in a binary column; `error` says where one is cut off, and what was read before stays null."""
+    names = ["identification", "mode", "lfe", "level", "compression", "channel_map", "channels"]
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for data in batch.column(len(keys)):
+                data, info, why = data.as_py() or b"", None, None
+                try:
+                    info = stream_information(data)
+                except EOFError as e:
+                    why = str(e)
+                rows.append((codec_of(data[:16]), *(getattr(info, n) if info else None for n in names), why))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*keys, "codec", *names, "error"])
+
+    schema = ", ".join([*(f"`{k}` {frames_.schema[k].dataType.simpleString()}" for k in keys), "codec string, identification long, mode long, lfe boolean, level long, compression long, channel_map long, channels long, error string"])
+    return frames_.select(*keys, F.col(content)).mapInArrow(read, schema)
+
+
 FRAME_SCHEMA = "path string, unit long, offset long, kind string, bytes binary, extended boolean, stream_type int, substream int, rate int, blocks int, gap_bytes long"
 
 
@@ -231,17 +318,43 @@ def caf_chunks(data: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
-def chunk_table(spark: SparkSession, path: str) -> DataFrame:
-    """path, number, id, offset, size of every chunk of RIFF, RF64 and CAF files."""
+def chunks_of(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, number, id, offset, size of every chunk of RIFF, RF64 and CAF files, from a binaryFile table."""
 
     def scanned(batches):
         for batch in batches:
             for p, data in zip(batch.column(0), batch.column(1), strict=True):
-                raw = data.as_py()
+                raw = data.as_py() or b""
                 found = riff_chunks(raw) or caf_chunks(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([p.as_py()] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array([c[0] for c in found], pa.string()), pa.array([c[1] for c in found], pa.int64()), pa.array([c[2] for c in found], pa.int64())], ["path", "number", "id", "offset", "size"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scanned, "path string, number int, id string, offset long, size long")
+    return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(scanned, "path string, number int, id string, offset long, size long")
+
+
+def chunk_table(spark: SparkSession, path: str) -> DataFrame:
+    return chunks_of(spark.read.format("binaryFile").load(path))
+
+
+def open_stream(spark: SparkSession, path: str, stdin=None) -> DataFrame:
+    """path, content, length of a file or folder, or of the driver's standard input, if path is "-": that is read whole by the driver and must fit its memory."""
+    if path != "-":
+        return spark.read.format("binaryFile").load(path).select("path", "content", "length")
+    import sys
+
+    data = (stdin or sys.stdin.buffer).read()
+    return spark.createDataFrame([("-", bytearray(data), len(data))], "path string, content binary, length long")
+
+
+def memory_pcm(samples: DataFrame, channels: int, most: int = 1 << 28) -> np.ndarray:
+    """(position, channel, sample) as an array of frames by channels, in the driver; raises, if it would have more than `most` samples. What is missing is silence."""
+    last = samples.agg(F.max("position")).first()[0]
+    frames_ = 0 if last is None else last + 1
+    if frames_ * channels > most:
+        raise ValueError(f"{frames_ * channels} samples are more than {most}")
+    out = np.zeros((frames_, channels), np.int32)
+    found = samples.select("position", "channel", "sample").toArrow()
+    out[np.asarray(found["position"]), np.asarray(found["channel"])] = np.asarray(found["sample"])
+    return out
 
 
 # -- sinks
