@@ -12,11 +12,13 @@ all distances are exactly 1, so every window would hold everything. So there are
 2. Cells with one least member form a region around it. Inside regions, documents are
    pivots: a set within the bound of the pivot is linked to it; of the others, by the triangle
    inequality, only sets whose distances to the pivot differ by at most the bound can be
-   linked; Voronoi regions of further pivots, with boundary sets replicated to every region whose
+   linked; Voronoi regions of several pivots, with boundary sets replicated to every region whose
    pivot is at most twice the bound farther than the nearest, are joined recursively. A small region
-   is joined in one task. A large one is thinned by joins with its pivot's set: what is linked to
-   it leaves, but for those within the window of the others; one that no pivot thins further is
-   joined in blocks, a task for each two. Nothing is left out.
+   is joined in one task. A large one is parted into such cells by joins, many tasks each: what is linked
+   to its cell's pivot leaves, but for those within the window of the others, and the cells are
+   regions again. One that document pivots hardly part (its members are all far from each other) is parted by its
+   rarest shingles as the corpus was, counted within it; only what neither shrinks is joined in blocks,
+   a task for each two. Nothing is left out.
 
 Two sets that are both linked to a pivot are in one component; no more is asked about them. So a group of
 thousands of copies costs thousands of distances, not millions.
@@ -37,7 +39,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, count_unique, mix64, sequence_hashes, sequence_sums, small_batches
@@ -52,8 +54,8 @@ MERGED = 2_000_000
 LOCAL, LOCAL_BYTES = 1000, 16 << 20
 #: So many documents are compared pair by pair.
 FEW = 24
-#: A larger region is thinned by pivots, so many times at most, and again only if no more than this share of it was left.
-ROUNDS, SHRUNK = 6, 0.7
+#: A larger region is parted by so many pivots, so many times at most, and a cut holds if no part has more than this share of the region.
+PIVOTS, ROUNDS, SHRUNK = 8, 12, 0.7
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,39 +351,79 @@ def _join_small(regions: DataFrame, percent: int, by: list[str]) -> DataFrame:
     return regions.groupBy(*by).applyInArrow(joined, "x long, y long")
 
 
-def _to_pivot(rows: DataFrame) -> DataFrame:
-    """rows with `both`: the shingles shared by set and pivot_set, which is left out."""
-    kept = [c for c in rows.columns if c != "pivot_set"]
+def _salted(rows: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (region, key, count, bytes) in parts of about a task's room by `salt`, and other (region, ...) with each region's rows in each of its parts: so a region of any size is joined by many tasks."""
+    parts = F.ceil(F.greatest(F.col("count") / F.lit(LOCAL), F.col("bytes") / F.lit(LOCAL_BYTES))).cast("int")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(3)), parts).cast("int"))
+    sizes = rows.select("region", parts.alias("_p")).distinct()
+    return rows, other.join(sizes, "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).drop("_p")
 
-    def counted(batches):
-        for batch in batches:
-            at, pivot_at = batch.schema.get_field_index("set"), batch.schema.get_field_index("pivot_set")
-            out = []
-            for s, p in zip(batch.column(at), batch.column(pivot_at), strict=True):
-                s, p = np.frombuffer(s.as_py(), U64), np.frombuffer(p.as_py(), U64)
-                k = np.searchsorted(p, s)
-                k[k == len(p)] = 0
-                out.append(int((p[k] == s).sum()) if len(p) else 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.int64())], [*kept, "both"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "pivot_set")
-    return rows.mapInArrow(counted, f"{schema}, both long")
+PLACED = "region long, key long, cell int, pivot long, home boolean, d double, near boolean"
+
+
+def _place(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Voronoi cells of large regions: PIVOTS members by chance are pivots; each member comes home to its nearest pivot's cell, and once more to every cell whose pivot is at most twice the bound farther."""
+    picks = rows.groupBy("region").agg(*(F.min(F.struct(F.xxhash64("key", F.lit(turn * PIVOTS + j)).alias("h"), F.col("key").alias("key")))["key"].alias(f"p{j}") for j in range(PIVOTS)))
+    pivots = picks.select("region", F.explode(F.array_distinct(F.array(*(F.col(f"p{j}") for j in range(PIVOTS))))).alias("key"))
+    left, right = _salted(rows, pivots)
+    left = left.join(sets, "key").select("region", "salt", "key", "set")
+    right = right.join(sets, "key").select(*(F.col(c).alias(f"pivot_{c}") for c in ("region", "salt", "key", "set")))
+    bound = 1.0 - percent / 100.0
+
+    def placed(members, pivots):
+        keys, centres = np.asarray(members["key"]), np.asarray(pivots["pivot_key"])
+        order = np.argsort(centres)  # the cells' numbers are the same in every part
+        both = Sets(np.concatenate([keys, centres[order]]), [np.frombuffer(x.as_py(), U64) for x in members["set"]] + [np.frombuffer(pivots["pivot_set"][int(i)].as_py(), U64) for i in order], percent)
+        n, everyone = len(keys), np.arange(len(keys))
+        found = [both.to(n + j, everyone) for j in range(len(centres))]
+        away, near = np.stack([d for d, _ in found]), np.stack([x for _, x in found])
+        nearest, home = away.min(0), away.argmin(0)
+        cell, who = np.nonzero(away <= nearest + 2 * bound + EPSILON)
+        region = members["region"][0].as_py() if n else 0
+        return pa.table(
+            [pa.array(np.full(len(who), region, np.int64)), pa.array(keys[who]), pa.array(cell.astype(np.int32)), pa.array(centres[order][cell]), pa.array(home[who] == cell), pa.array(away[cell, who]), pa.array(near[cell, who])],
+            ["region", "key", "cell", "pivot", "home", "d", "near"],
+        )
+
+    return left.groupBy("region", "salt").cogroup(right.groupBy("pivot_region", "pivot_salt")).applyInArrow(placed, PLACED)
+
+
+def _rarest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Large regions cut as the corpus was: within each, the members' shingles are counted, and a member lies in the cells of its rarest ones, as many as the bound allows to be missing and one. region, parent, key."""
+    each = rows.select("region", "key").join(sets, "key")
+
+    def listed(batches):
+        for batch in small_batches(batches, column=3):
+            lengths = [len(x.as_py()) // 8 for x in batch.column(3)]
+            flat = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["region", "key", "n", "shingles"])
+
+    exploded = each.select("region", "key", "n", "set").mapInArrow(listed, "region long, key long, n long, shingles array<long>").select("region", "key", "n", F.explode("shingles").alias("shingle"))
+    counts = exploded.groupBy("region", "shingle").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("least"))
+    ranked = exploded.join(counts, ["region", "shingle"]).withColumn("k", F.row_number().over(Window.partitionBy("region", "key").orderBy("c", "shingle")))
+    cells = ranked.where(F.col("k") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).where("c > 1")
+    return cells.select(F.xxhash64("region", "least").alias("region"), F.col("region").alias("parent"), "key").distinct()
 
 
 def region_links(candidates: DataFrame, percent: int) -> DataFrame:
     """Links whose components are those of all links among the candidates."""
+    spark = candidates.sparkSession
+    root = shared_folder(spark, "regions")
     cells = candidates.select("key", F.explode("cells").alias("cell"))
-    least = through_table(cells.groupBy("cell").agg(F.min("key").alias("region"), F.count(F.lit(1)).alias("c")).where("c > 1").select("cell", "region"), "cells")
-    members = through_table(cells.join(least, "cell").select("region", "key").distinct(), "members")
+    least = cells.groupBy("cell").agg(F.min("key").alias("region"), F.count(F.lit(1)).alias("c")).where("c > 1").select("cell", "region")
+    members = through_table(cells.join(least, "cell").select("region", "key").distinct(), "members", root)
     sets = candidates.select("key", "n", "set")
+    weight = candidates.select("key", F.octet_length("set").alias("bytes"))
     bound = 1.0 - percent / 100.0
     links = []
-    turn = 0
-    while True:
-        sizes = through_table(members.join(sets.select("key", F.octet_length("set").alias("bytes")), "key").groupBy("region").agg(F.count(F.lit(1)).alias("count"), F.sum("bytes").alias("bytes"), F.min("key").alias("least")).where("count > 1"), "sizes")
+    for turn in range(ROUNDS + 1):
+        folder = inner_folder(spark, f"{root}/{turn}")
+        sizes = through_table(members.join(weight, "key").groupBy("region").agg(F.count(F.lit(1)).alias("count"), F.sum("bytes").alias("bytes")).where("count > 1"), "sizes", folder)
         small = (F.col("count") <= LOCAL) & (F.col("bytes") <= LOCAL_BYTES)
         few = members.join(sizes.where(small).select("region"), "region").join(sets, "key").select("region", "key", "set", F.lit(0).alias("side"))
-        links.append(through_table(_join_small(few, percent, ["region"]), "links"))
+        links.append(through_table(_join_small(few, percent, ["region"]), "few", folder))
         large = sizes.where(~small)
         if large.isEmpty():
             break
@@ -389,29 +431,39 @@ def region_links(candidates: DataFrame, percent: int) -> DataFrame:
         if turn == ROUNDS:
             links.append(_join_blocks(rows, sets, percent))
             break
-        pivots = large.select("region", F.col("least").alias("key")).join(sets, "key").select("region", F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set"))
-        placed = _to_pivot(rows.select("region", "key", "least", "count", "bytes").join(sets, "key").join(pivots, "region").select("region", "key", "least", "count", "bytes", "n", "pivot_n", "set", "pivot_set"))
-        union = F.col("n") + F.col("pivot_n") - F.col("both")
-        placed = through_table(placed.select("region", "key", "least", "count", "bytes", (1 - F.col("both") / union).alias("d"), (F.col("both") * 100 >= union * percent).alias("near")), "placed")
-        links.append(placed.where("near and key <> least").select(F.col("key").alias("x"), F.col("least").alias("y")))
-        # what is linked to the pivot leaves, but for the window that the others reach
-        edge = placed.where("not near").groupBy("region").agg(F.min("d").alias("edge"))
-        left = placed.join(edge, "region").where(~F.col("near") | (F.col("d") >= F.col("edge") - F.lit(bound + EPSILON)))
-        left = through_table(left.select("region", "key", "count", "bytes"), "left")
-        thinned = left.groupBy("region", F.col("count").alias("_count")).agg(F.count(F.lit(1)).alias("_left")).select("region", (F.col("_left") <= F.col("_count") * SHRUNK).alias("thinned"))
-        left = left.join(thinned, "region")
-        links.append(_join_blocks(left.where("not thinned"), sets, percent))
-        members = through_table(left.where("thinned").select("region", "key"), "thinned")
-        turn += 1
+        # cells around pivots; what is linked to its cell's pivot leaves, but for the window of those that aren't
+        placed = through_table(_place(rows, sets, percent, turn), "placed", folder)
+        links.append(placed.where("near and key <> pivot").select(F.col("key").alias("x"), F.col("pivot").alias("y")))
+        edge = placed.where("not near").groupBy("region", "cell").agg(F.min("d").alias("edge"))
+        left = placed.join(edge, ["region", "cell"]).where(~F.col("near") | (F.col("d") >= F.col("edge") - F.lit(bound + EPSILON)))
+        left = through_table(left.select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), F.col("region").alias("parent"), "key"), "left", folder)
+        # a region without anything left is done; one that its pivots hardly part is parted by its rarest shingles, else in blocks
+        parted = _shrunk(left, large)
+        stalled = large.join(left.select(F.col("parent").alias("region")).distinct(), "region", "left_semi").join(parted, "region", "left_anti")
+        rest = members.join(through_table(stalled, "stalled", folder), "region")
+        by_shingle = through_table(_rarest(rest, sets, percent), "rarest", folder)
+        again = _shrunk(by_shingle, large)
+        occupied = by_shingle.select(F.col("parent").alias("region")).distinct()
+        links.append(_join_blocks(rest.join(occupied, "region", "left_semi").join(again, "region", "left_anti"), sets, percent))
+        kept = [x.join(y.select(F.col("region").alias("parent")), "parent", "left_semi").select("region", "key") for x, y in ((left, parted), (by_shingle, again))]
+        members = through_table(kept[0].unionByName(kept[1]).distinct(), "members", folder)
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _shrunk(cut: DataFrame, large: DataFrame) -> DataFrame:
+    """The regions (of `large`) whose largest part has at most SHRUNK of their members."""
+    parts = cut.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("_n")).groupBy("parent").agg(F.max("_n").alias("_most"))
+    return parts.select(F.col("parent").alias("region"), "_most").join(large, "region").where(F.col("_most") <= F.col("count") * SHRUNK).select("region")
+
+
 def _join_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Regions that pivots don't thin, in blocks of a quarter of a task's room; every two blocks meet in a task of their own."""
     blocks = F.ceil(F.greatest(F.col("count") / F.lit(LOCAL / 4), F.col("bytes") / F.lit(LOCAL_BYTES / 4))).cast("int")
+    if rows.isEmpty():
+        return rows.sparkSession.createDataFrame([], "x long, y long")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = rows.select("region", "key", "block", F.explode(other).alias("o"))
@@ -477,7 +529,7 @@ def _group(docs: DataFrame, size: int, percent: int) -> DataFrame:
         drop_folder(spark, f"{root}/{done}")
     links = region_links(candidates, percent)
     classes = through_table(table.where("key is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "classes", root)
-    classed = table.join(classes, ["a", "b"], "left").select("key", "n_shingles", F.coalesce("class_id", "key").alias("class_id"))
+    classed = table.join(classes, ["a", "b"], "left").select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("class_id", "key")).alias("class_id"))
     # rows with one key are one document, whatever their sets
     twice = classed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("class_id").alias("of"), F.max("class_id").alias("to")).where("c > 1")
     several = classed.join(twice.where("of <> to or key <> of").select("key"), "key", "left_semi").select(F.col("key").alias("x"), F.col("class_id").alias("y")).where("x <> y")

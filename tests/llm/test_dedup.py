@@ -133,9 +133,9 @@ def similar_documents(seed, n):
     return [*docs, (n, None), (n + 1, ""), (n + 2, " \n")]
 
 
-@pytest.mark.parametrize(("local", "rounds", "size", "percent"), [(1000, 6, 4, 85), (20, 6, 4, 85), (15, 0, 5, 80)])
+@pytest.mark.parametrize(("local", "rounds", "size", "percent"), [(1000, 12, 4, 85), (20, 12, 4, 85), (15, 0, 5, 80)])
 def test_components_are_exact(spark, monkeypatch, local, rounds, size, percent):
-    """Also where regions are thinned by pivots, and joined in blocks."""
+    """Also where regions are parted by pivots, and joined in blocks."""
     monkeypatch.setattr(jaccard, "LOCAL", local)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     docs = similar_documents(local % 97, 400)
@@ -144,6 +144,33 @@ def test_components_are_exact(spark, monkeypatch, local, rounds, size, percent):
     assert got == plain_components(docs, size, percent)
 
 
+def test_a_large_region_of_unlike_documents_is_parted(spark, monkeypatch):
+    """Thousands of documents put together from the same passages: each is unlike nearly all others, and all their shingles are frequent."""
+    monkeypatch.setattr(jaccard, "LOCAL", 300)
+    pairs = []
+    blocks = jaccard._join_blocks
+
+    def counted(rows, sets, percent):
+        pairs.append(rows.count())
+        return blocks(rows, sets, percent)
+
+    monkeypatch.setattr(jaccard, "_join_blocks", counted)
+    r = random.Random(12)
+    passages = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(40)]
+    docs = []
+    for i in range(4000):
+        if i % 10 == 9:  # a near copy of an earlier one
+            w = docs[r.randrange(i)][1].split()
+            w[r.randrange(len(w))] = "other"
+            docs.append((i, " ".join(w)))
+        else:
+            docs.append((i, " ".join(passages[k] for k in [0, *r.sample(range(1, 40), 8)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.group_documents(df).collect()}
+    assert got == plain_components(docs, 4, 85)
+    assert sum(pairs) == 0  # nothing was left for blocks
+
+
 def test_regions_of_unlike_sets_are_joined_exactly():
     """One region of documents at all distances, some in a chain of links."""
     r = random.Random(9)
@@ -168,6 +195,13 @@ def test_regions_of_unlike_sets_are_joined_exactly():
         assert 1 < len({expected.root(i) for i in range(len(sets))}) < len(sets)
 
 
+def test_keys_of_any_type(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", long), ("a", long + " x"), ("c", "other words that stand alone here"), (None, long), ("d", long)]
+    got = jaccard.group_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(x.doc_id, x.class_id, x.component_id) for x in got} == {("a", "a", "a"), ("b", "b", "a"), ("d", "b", "a"), ("c", "c", "c"), (None, None, None)}
+
+
 def test_rows_with_one_key_are_one_document(spark):
     long = " ".join(f"w{i}" for i in range(40))
     docs = [(5, long), (5, "quite another text of some words"), (9, "quite another text of some words"), (7, long + " more"), (None, long)]
