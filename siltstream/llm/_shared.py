@@ -14,6 +14,7 @@ import gc
 import mmap
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -71,10 +72,12 @@ def through_table(df: DataFrame, name: str, folder: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of jobs that are done and whose frames nothing holds: they count against the disks for as long as the driver's heap has not been collected, which a driver that does little else seldom does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release_shuffles(spark: SparkSession, size: int) -> None:
+    """After a job on `size` bytes (a few are not worth the second and a half): lets Spark's cleaner delete the shuffle files of jobs that are done and whose frames nothing holds: they count against the disks for as long as the driver's heap has not been collected, which a driver that does little else seldom does. What the last command returned is held until the next one, and what is detached goes a little later: hence three times."""
+    for _ in range(3 if size > SHARD_BYTES else 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def parts_for(spark: SparkSession) -> int:
@@ -168,16 +171,28 @@ def narrowed(a: np.ndarray) -> np.ndarray:
     return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
 
-def write_shard(uri: str, shard: int, **columns: np.ndarray) -> None:
-    """Unsigned columns but the key are narrowed: a reader tells their width by the file's size."""
+def write_shard(uri: str, shard: int, tables: tuple[str, ...] = (), **columns: np.ndarray) -> None:
+    """Unsigned columns but the key and the tables are narrowed: a reader tells their width by the file's size."""
     for name, a in columns.items():
-        if name != "key" and a.dtype.kind == "u":
+        if name != "key" and name not in tables and a.dtype.kind == "u":
             a = narrowed(a)
         write_file(f"{uri}/{shard:06d}.{name}", np.ascontiguousarray(a).data)
 
 
+def coded(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Columns that together have few different rows: each row's number among these, and the columns of these."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    codes = np.empty(len(order), np.uint64)
+    codes[order] = (np.cumsum(new) - 1).astype(np.uint64)
+    return codes, [c[order[new]] for c in columns]
+
+
 class HashArrays:
-    """Sorted keys in shards, with columns of values; opened lazily, one memory map for each file. sizes: the keys of each shard."""
+    """Sorted keys in shards, with columns of values; opened lazily, one memory map for each file. sizes: the keys of each shard. A type such as "code:f8" is a column of numbers of rows in a table of its own, the numbers being in the column `code`."""
 
     opened: dict[str, "HashArrays"] = {}
 
@@ -197,6 +212,9 @@ class HashArrays:
 
     def column(self, shard: int, name: str) -> np.ndarray:
         if (shard, name) not in self.maps:
+            if ":" in self.types[name]:
+                self.maps[shard, name] = map_file(f"{self.uri}/{shard:06d}.{name}", np.dtype(self.types[name].partition(":")[2])) if self.sizes[shard] else np.zeros(0, self.types[name].partition(":")[2])
+                return self.maps[shard, name]
             self.maps[shard, name] = self._map(f"{self.uri}/{shard:06d}.{name}", self.sizes[shard], np.dtype(self.types[name])) if self.sizes[shard] else np.zeros(0, self.types[name])
         return self.maps[shard, name]
 
@@ -210,7 +228,7 @@ class HashArrays:
     def find(self, keys: np.ndarray, *names: str, missing=0) -> list[np.ndarray]:
         """Whether each of the sorted distinct keys is there, then its values (`missing`, if not). The column "at" is its place: shard << 40 | index."""
         found = np.zeros(len(keys), bool)
-        out = [np.full(len(keys), missing, np.int64 if n == "at" else self.types[n]) for n in names]
+        out = [np.full(len(keys), missing, np.int64 if n == "at" else self.types[n].rpartition(":")[2]) for n in names]
         edges = np.append(np.searchsorted(keys, self.starts), len(keys))
         for s in np.flatnonzero(np.diff(edges)):
             a, b = edges[s], edges[s + 1]
@@ -224,6 +242,8 @@ class HashArrays:
             for o, n in zip(out, names, strict=True):
                 if n == "at":
                     o[a:b][ok] = (int(s) << 40) | at[ok]
+                elif code := self.types[n].rpartition(":")[0]:
+                    o[a:b][ok] = self.column(int(s), n)[self.column(int(s), code)[at[ok]]]
                 else:
                     o[a:b][ok] = self.column(int(s), n)[at[ok]]
         return [found, *out]
@@ -233,10 +253,13 @@ class HashArrays:
 SHARD_BYTES = 64 << 20
 
 
-def shards_for(texts: DataFrame, text: str = "text", least: int = 1) -> int:
-    """How many shards the texts' counts are cut into: by their measured bytes, so that a task's share doesn't grow with them; at least one for each (`least`th) shuffle partition."""
-    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(2, least * parts_for(texts.sparkSession), -(-size // SHARD_BYTES))
+def text_bytes(texts: DataFrame, text: str = "text") -> int:
+    return texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def shards_for(spark: SparkSession, size: int) -> int:
+    """How many shards the counts of so many bytes of text are cut into: by their measured size, so that a task's share doesn't grow with it; at least one for each shuffle partition."""
+    return max(2, parts_for(spark), -(-size // SHARD_BYTES))
 
 
 def sizes_of(rows, shards: int) -> list[int]:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, count_unique, mix64, sequence_hashes, sequence_sums, small_batches
-from ._shared import HashArrays, begin_stage, by_shard, drop_folder, inner_folder, release_shuffles, shards_for, shared_folder, shard_starts, sizes_of, through_table, unpack, write_shard
+from ._shared import HashArrays, begin_stage, by_shard, drop_folder, inner_folder, release_shuffles, shards_for, shared_folder, shard_starts, sizes_of, text_bytes, through_table, unpack, write_shard
 
 SIZE, PERCENT = 4, 85
 #: Distinct shingles that a map task holds before it sends their counts off.
@@ -518,12 +518,13 @@ def group_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, k
 def _group(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """group_documents of rows key (long), text."""
     spark = docs.sparkSession
-    root, shards = shared_folder(spark, "jaccard"), shards_for(docs)
+    weight = text_bytes(docs)
+    root, shards = shared_folder(spark, "jaccard"), shards_for(spark, weight)
     table = through_table(document_table(docs, size), "documents", root)
     copies = _store_copies(table, f"{root}/copies", shards)
     keyed = docs.where("key is not null")
     sizes = _count_shingles(keyed, size, copies, f"{root}/shingles", shards)
-    release_shuffles(spark)  # the arrays hold what the shuffle carried
+    release_shuffles(spark, weight)  # the arrays hold what the shuffle carried
     candidates = through_table(_candidates(keyed, size, percent, copies, f"{root}/shingles", sizes), "candidates", root)
     for done in ("copies", "shingles"):
         drop_folder(spark, f"{root}/{done}")

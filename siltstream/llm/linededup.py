@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, U64, Words, chunks, mix64, powers, sequence_hashes, sequence_sums, small_batches
-from ._shared import HashArrays, begin_stage, shard_column, shards_for, shared_folder, sizes_of, through_table, write_shard
+from ._shared import HashArrays, begin_stage, shard_column, shards_for, shared_folder, sizes_of, text_bytes, through_table, write_shard
 
 MIN_WORDS, NEAR_WORDS = 1, 5
 #: Bytes of text that are worked on at once.
@@ -169,7 +169,7 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     shared = through_table(halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("half"), "halves")
     chosen = halves.join(shared, "half", "left_semi").select("line").distinct().join(firsts.select("line", "first"), "line")
 
-    uri, shards = shared_folder(spark, "chosen-lines"), shards_for(docs, "_ld_text")
+    uri, shards = shared_folder(spark, "chosen-lines"), shards_for(spark, text_bytes(docs, "_ld_text"))
 
     def store(group, table):
         keys = np.asarray(table["line"]).view(U64)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import CHUNK, LOWER, U64, Words, chunks, count_unique, mix64, small_batches, unmix64
-from ._shared import HashArrays, begin_stage, by_shard, inner_folder, pack, release_shuffles, shared_folder, shards_for, sizes_of, unpack, write_shard
+from ._shared import HashArrays, begin_stage, by_shard, coded, inner_folder, pack, release_shuffles, shared_folder, shards_for, sizes_of, text_bytes, unpack, write_shard
 
 END, BEGIN = (int(x) for x in mix64(np.array([1, 2], U64)))
 BLOBS = "shard int, blob binary"
@@ -51,7 +51,8 @@ HELD = 1_000_000
 MERGED = 2_000_000
 #: Words whose sums one task adds up.
 WORDS = 100_000
-LEVEL1 = {"count": "u8", "after": "u8", "total": "u8", "left": "f8"}
+#: What a context has in all and what it leaves have few different pairs: these are a table.
+LEVEL1 = {"count": "u8", "after": "u8", "context": "u8", "total": "context:u8", "left": "context:f8"}
 LEVEL2 = {"count": "u8"}
 MIDDLE = LEVEL1
 
@@ -214,7 +215,8 @@ def _sum_level(spark, uri: str, shards: int, sizes: list[list[int]], level: int,
             count = np.concatenate([lower.column(s, "count") for s in range(first, last)])
             after = np.where(after > 0, after, count)
         for s, a, b in zip(range(first, last), base[:-1], base[1:], strict=True):
-            write_shard(f"{uri}/{level - 1}", s, after=after[a:b], total=total[a:b], left=left[a:b])
+            codes, (totals, lefts) = coded(total[a:b], left[a:b])
+            write_shard(f"{uri}/{level - 1}", s, ("total", "left"), after=after[a:b], context=codes, total=totals, left=lefts)
         return pa.table({"n": pa.array([[int((after == k).sum()) for k in (1, 2, 3, 4)] + [int((after >= 3).sum()), int(after.sum())]], pa.list_(pa.int64()))})
 
     found = spark.range(0, shards, 1, shards).mapInArrow(sums, "shard int, what string, blob binary")
@@ -240,7 +242,8 @@ class KneserNey:
             raise ValueError("a model has two levels at least")
         spark = texts.sparkSession
         texts = texts.select(F.col(text).cast("string").alias("text"))
-        uri, shards = shared_folder(spark, "lm"), shards_for(texts)
+        size = text_bytes(texts)
+        uri, shards = shared_folder(spark, "lm"), shards_for(spark, size)
 
         def words(batches):
             begun = False
@@ -265,13 +268,13 @@ class KneserNey:
         for level in range(2, order + 1):
             rows = _count_level(texts, uri, shards, sizes, level)
             sizes.append(_sizes(rows, shards))
-            release_shuffles(spark)  # the level's arrays hold what its shuffle carried
+            release_shuffles(spark, size)  # the level's arrays hold what its shuffle carried
         d = [[0.0] * 3] * order
         d[-1] = discounts([sum(r.counts[k] for r in rows) for k in range(4)])
         for level in range(order, 1, -1):
             n = _sum_level(spark, uri, shards, sizes, level, "count" if level == order else "after", d[level - 1])
             d[level - 2] = discounts(n[:4])
-            release_shuffles(spark)
+            release_shuffles(spark, size)
         n_pairs = n[5]
         left1 = (d[0][0] * n[0] + d[0][1] * n[1] + d[0][2] * n[4]) / n_pairs if n_pairs else 1.0
         return cls(uri, sizes, n_tokens, n_distinct, n_pairs, d, left1)

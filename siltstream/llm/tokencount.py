@@ -7,7 +7,8 @@ last piece), a character that is no piece costs the least score less 10 and coun
 bytes. Scores are the vocabulary file's own.
 
 The text is cut where no piece can reach across, and each distinct run of a chunk is
-counted once; sums of runs are sums of texts, so nothing is lost by the cut.
+counted once; sums of runs are sums of texts, so nothing is lost by the cut. Sums are kept in 64 bits,
+by which counts are the installed public encoder's for texts of any length (the tests hold whole documents against it).
 
 Defined results: a null text or an empty one has 0 tokens and score 0; a text of any length
 is done whole, in memory that grows with its own length only. Repeated rows and keys, and null keys, stay as

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 from common import empty_documents, lower_words, odd_documents
@@ -150,3 +151,19 @@ def test_bytes_and_packing():
         w = Words(data, offsets, breaks=10)
         assert w.per_text.tolist() == [3, 1, 1, 2, 2]
         assert w.counts.tolist() == [2, 0, 1, 0, 0, 0, 0, 1, 1]
+
+
+def test_a_shard_that_is_gone_raises(spark, tmp_path):
+    """A reader must not take a file that it can't see for an empty shard."""
+    from siltstream.llm import _shared
+
+    keys = np.array([5, 9, 1 << 40], np.uint64)
+    _shared.write_shard(str(tmp_path), 0, ("table",), key=keys, n=np.array([1, 300, 2], np.uint64), code=np.array([1, 0, 1], np.uint64), table=np.array([0.5, 7.25]))
+    types = {"n": "u8", "code": "u8", "table": "code:f8"}
+    found, n, value = _shared.HashArrays(str(tmp_path), [3, 0], types).find(np.array([5, 6, 1 << 40], np.uint64), "n", "table")
+    assert found.tolist() == [True, False, True] and n.tolist() == [1, 0, 2] and value.tolist() == [7.25, 0.0, 7.25]
+    (tmp_path / "000000.key").unlink()
+    with pytest.raises(OSError):
+        _shared.HashArrays(str(tmp_path), [3, 0], types).find(keys, "n")
+    with pytest.raises(OSError):
+        _shared.HashArrays(str(tmp_path), [4, 0], types).column(0, "table"), _shared.HashArrays(str(tmp_path), [4, 0], types).column(0, "n")
