@@ -489,3 +489,12 @@ def disc_fit(facts: DataFrame) -> DataFrame:
         unknown = F.lit(disc == "hd_dvd") & (rate % 44_100 == 0)
         out = out.withColumn(f"fits_{disc}", F.when(F.size(f"not_{disc}") > 0, "no").when(unknown, "unjudged").otherwise("yes"))
     return out
+
+
+# -- every member in one pass
+
+
+def write_members(df: DataFrame, member: str, order: Sequence[str], folder: str) -> DataFrame:
+    """Writes each member's records to a folder of its own (member=...), in order within its files, all from one pass; returns member, records, in the members' order."""
+    df.repartition(F.col(member)).sortWithinPartitions(member, *order).write.partitionBy(member).parquet(folder)
+    return df.sparkSession.read.parquet(folder).groupBy(member).agg(F.count(F.lit(1)).alias("records")).orderBy(member)

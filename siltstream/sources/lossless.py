@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import crc16_after_shift
+from .bits import BitReader, BitWriter
 
 # Fixed values of the format: the major syncs of the two kinds of stream, and their least length.
 SYNCS = (b"\xf8\x72\x6f\xba", b"\xf8\x72\x6f\xbb")
@@ -194,3 +195,74 @@ def configs_of(df: DataFrame, keys: list[str], sync: str) -> DataFrame:
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "syntax string, rate long, samples long, flags long, variable boolean, peak long, substreams long, substream_info long"])
     return df.select(*keys, F.col(sync)).mapInArrow(read, schema)
+
+
+# -- restart headers
+
+RESTART = 0x31EA >> 1
+
+
+@dataclass
+class RestartHeader:
+    noise_type: int
+    output: int  # timing
+    first: int  # channels
+    last: int
+    last_matrixed: int
+    noise_shift: int
+    seed: int
+    max_shift: int
+    max_lsbs: int
+    max_bits: int
+    check: int | None  # the lossless check word, where it holds
+    order: list[int]
+
+
+def restart_header(r: BitReader) -> RestartHeader:
+    """The header that begins here; ValueError if it isn't one, or its channels don't fit."""
+    if r.read(13) != RESTART:
+        raise ValueError("no restart header begins here")
+    out = RestartHeader(r.read(1), r.read(16), r.read(4), r.read(4), r.read(4), r.read(4), r.read(23), r.read(4), r.read(5), r.read(5), None, [])
+    if r.read(5) != out.max_bits:
+        raise ValueError("the two widths differ")
+    present, word = r.read(1), r.read(8)
+    out.check = word if present else None
+    r.read(16)
+    if out.first > out.last or out.last > out.last_matrixed:
+        raise ValueError("the channels are out of order")
+    out.order = [r.read(6) for _ in range(out.last_matrixed + 1)]
+    if sorted(out.order) != list(range(out.last_matrixed + 1)):
+        raise ValueError("a channel is assigned twice, or none")
+    r.read(8)
+    return out
+
+
+def write_restart(h: RestartHeader) -> bytes:
+    w = BitWriter().write(RESTART, 13).write(h.noise_type, 1).write(h.output, 16).write(h.first, 4).write(h.last, 4).write(h.last_matrixed, 4).write(h.noise_shift, 4).write(h.seed, 23)
+    w.write(h.max_shift, 4).write(h.max_lsbs, 5).write(h.max_bits, 5).write(h.max_bits, 5).write(h.check is not None, 1).write(h.check or 0, 8).write(0, 16)
+    for k in h.order:
+        w.write(k, 6)
+    return w.write(0, 8).bytes()
+
+
+def repaired(unit: bytes, substreams: int) -> tuple[bytes, bool, bool]:
+    """The unit with its major sync's checksum and its parity nibble made right, and which of them was wrong. substreams: of the stream, where the unit has no major sync."""
+    out, sync = bytearray(unit), 0
+    wrong_sum = False
+    if bytes(out[4:8]) in SYNCS and len(out) >= 4 + LEAST:
+        sync = LEAST
+        if out[7] == SYNCS[0][3] and out[29] & 1:
+            sync += 2 + 2 * (out[30] >> 4)
+        substreams = out[20] >> 4
+        right = crc16_after_shift(bytes(out[4 : 4 + sync - 2])).to_bytes(2, "big")
+        wrong_sum = bytes(out[4 + sync - 2 : 4 + sync]) != right
+        out[4 + sync - 2 : 4 + sync] = right
+    wrong_parity = not _parity(bytes(out), sync, substreams)
+    if wrong_parity:
+        for nibble in range(16):
+            out[0] = nibble << 4 | out[0] & 15
+            if _parity(bytes(out), sync, substreams):
+                break
+        else:
+            raise ValueError("the directory is cut off")
+    return bytes(out), wrong_sum, wrong_parity

@@ -43,18 +43,22 @@ def change_stream(updates: DataFrame, element: str, order: str, state: str) -> D
     return updates.select(element, order, state).groupBy(element).applyInPandasWithState(changed, f"{_typed(updates, [element, order, state])}, previous_{state} {kind}", f"last {kind}", "append", GroupStateTimeout.NoTimeout)
 
 
-def group_stream(records: DataFrame, stream: str, order: str, kind: str, opener: str) -> DataFrame:
-    """Groups of records: one of kind `opener` closes the open group and begins the next; a group comes out when it is closed: stream, group, first, n, kinds. Records before the first opener are orphans and don't come out."""
+def group_stream(records: DataFrame, stream: str, order: str, kind: str, opener: str, end: str | None = None) -> DataFrame:
+    """Groups of records: one of kind `opener` closes the open group and begins the next; a group comes out when it is closed: stream, group, first, n, kinds. Records before the first opener are orphans and don't come out. A record of kind `end` says that the stream is over: it lets the open group go and is no record itself."""
 
     def merged(key, pdfs: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         number, first, n, kinds = kept.get if kept.exists else (0, -1, 0, "")
         out = []
         for row in pd.concat(list(pdfs)).sort_values(order, kind="stable").itertuples(index=False):
-            if getattr(row, kind) == opener:
-                if number:
+            if end is not None and getattr(row, kind) == end:
+                if number and n:
+                    out.append((key[0], number, first, n, kinds))
+                n = 0
+            elif getattr(row, kind) == opener:
+                if number and n:
                     out.append((key[0], number, first, n, kinds))
                 number, first, n, kinds = number + 1, int(getattr(row, order)), 1, opener
-            elif number:
+            elif number and n:
                 n, kinds = n + 1, f"{kinds},{getattr(row, kind)}"
         kept.update((number, first, n, kinds))
         yield pd.DataFrame(out, columns=[stream, "group", "first", "n", "kinds"])
@@ -62,8 +66,8 @@ def group_stream(records: DataFrame, stream: str, order: str, kind: str, opener:
     return records.select(stream, order, kind).groupBy(stream).applyInPandasWithState(merged, f"{_typed(records, [stream])}, group long, first long, n long, kinds string", "number long, first long, n long, kinds string", "append", GroupStateTimeout.NoTimeout)
 
 
-def region_stream(units: DataFrame, stream: str, unit: str, damaged: str, restarted: str) -> DataFrame:
-    """Damage regions by parts (bit masks), each when its last damaged part has restarted: as until_all_restart, but for a region still open."""
+def region_stream(units: DataFrame, stream: str, unit: str, damaged: str, restarted: str, end: str | None = None) -> DataFrame:
+    """Damage regions by parts (bit masks), each when its last damaged part has restarted: as until_all_restart. A region still open comes out, without entry, when a unit has true in the column `end`: it is the stream's last."""
 
     def closed(key, pdfs: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         first, last, left, seen = kept.get if kept.exists else (-1, -1, 0, 0)
@@ -77,10 +81,13 @@ def region_stream(units: DataFrame, stream: str, unit: str, damaged: str, restar
                     first, seen = -1, 0
             if bad:
                 first, last, left, seen = first if left else at, at, left | bad, seen | bad
+            if end is not None and getattr(row, end) and left:
+                out.append((key[0], first, at, None, seen))
+                first, last, left, seen = -1, -1, 0, 0
         kept.update((first, last, left, seen))
-        yield pd.DataFrame(out, columns=[stream, "first_unit", "last_unit", "entry_unit", "parts"])
+        yield pd.DataFrame(out, columns=[stream, "first_unit", "last_unit", "entry_unit", "parts"]).astype({"entry_unit": "Int64"})
 
-    return units.select(stream, unit, damaged, restarted).groupBy(stream).applyInPandasWithState(closed, f"{_typed(units, [stream])}, first_unit long, last_unit long, entry_unit long, parts long", "first long, last long, remaining long, seen long", "append", GroupStateTimeout.NoTimeout)
+    return units.select(stream, unit, damaged, restarted, *([end] if end else [])).groupBy(stream).applyInPandasWithState(closed, f"{_typed(units, [stream])}, first_unit long, last_unit long, entry_unit long, parts long", "first long, last long, remaining long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def in_order(parts: Sequence[tuple[int, DataFrame]], order: Sequence[str]) -> DataFrame:
