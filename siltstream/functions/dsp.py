@@ -104,3 +104,25 @@ def transform_streams(df: DataFrame, stream: str, order: str, coefficients: str)
         return pd.DataFrame({stream: pdf[stream].to_numpy(), order: pdf[order].to_numpy(), "samples": out})
 
     return df.select(stream, order, coefficients).groupBy(stream).applyInPandas(transformed, f"{stream} {kinds[0]}, {order} {kinds[1]}, samples array<double>")
+
+
+def dither(seed: int, n: int, shift: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Two channels of n noise samples of a 23-bit generator, and the seed after them. One step mixes the seed's upper sixteen bits in twice."""
+    a, b = np.empty(n, np.int64), np.empty(n, np.int64)
+    for i in range(n):
+        high = seed >> 7
+        a[i], b[i] = seed >> 15 & 255, high & 255
+        seed = (seed << 16 ^ high ^ high << 5) & 0x7FFFFF
+    return *(np.where(x > 127, x - 256, x) << shift for x in (a, b)), seed
+
+
+def cross_faded(samples: np.ndarray, at: int, replacement: np.ndarray, fade: int) -> np.ndarray:
+    """samples with `replacement` from `at`: over the first and last `fade` of it the two are mixed, linearly; what would lie outside is left out."""
+    out = samples.astype(np.float64).copy()
+    n = len(replacement)
+    weight = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)) / (fade + 1), 1.0)
+    first, last = max(at, 0), min(at + n, len(out))
+    if last > first:
+        w, r = weight[first - at : last - at], replacement[first - at : last - at]
+        out[first:last] += (r - out[first:last]) * w
+    return out

@@ -107,3 +107,32 @@ def value_at(events: DataFrame, probes: DataFrame, element: str, position: str,
     a, b = F.col("_a"), F.col("_b")
     line = a["v"] + (b["v"] - a["v"]) * (F.col("t") - a["t"]) / (b["t"] - a["t"])
     return known.select(element, F.col("t").alias(probe), F.when(a.isNull(), b["v"]).when(b.isNull() | (b["t"] == a["t"]), a["v"]).otherwise(line).alias("value"))
+
+
+def ramp_segments(events: DataFrame, element: Sequence[str], position: str, ramp: str, value: str) -> DataFrame:
+    """The pieces of a trajectory: each event moves its element from the target before it (its own, for the first) to its own over `ramp` samples: begins, ends, from_value, to_value, holds_until (where the next event begins; null after the last)."""
+    w = Window.partitionBy(*element).orderBy(position)
+    before = F.coalesce(F.lag(value).over(w), F.col(value))
+    return events.select(*element, F.col(position).alias("begins"), (F.col(position) + F.col(ramp)).alias("ends"), before.alias("from_value"), F.col(value).alias("to_value"), F.lead(position).over(w).alias("holds_until"))
+
+
+def room_point(x: Column, y: Column, z: Column, fine: Sequence[Column]) -> tuple[Column, Column, Column]:
+    """A coded position (x and y in 62nds, z in 15ths) with its finer steps (a fifth of a step each) as room coordinates, held within the room."""
+    def within(c: Column, low: float) -> Column:
+        return F.greatest(F.least(c, F.lit(1.0)), F.lit(low))
+
+    return within(x / 62.0 + fine[0] / 310.0, 0.0), within(y / 62.0 + fine[1] / 310.0, 0.0), within(z / 15.0 + fine[2] / 75.0, -1.0)
+
+
+def first_of_kind(elements: Column, kind: str) -> Column:
+    """The first struct of an array whose field `kind` says so; null if there is none."""
+    return F.get(F.filter(elements, lambda e: e["kind"] == kind), F.lit(0))
+
+
+def gain_and_size_counts(updates: Column) -> dict[str, Column]:
+    """Of an array of updates (gain in dB, null: the default; muted; size): changed gains, mutes (counted apart), and sizes that aren't zero."""
+    return {
+        "gains": F.size(F.filter(updates, lambda u: F.coalesce(~u["muted"] & (u["gain"] != 0), F.lit(False)))),
+        "muted": F.size(F.filter(updates, lambda u: F.coalesce(u["muted"], F.lit(False)))),
+        "sized": F.size(F.filter(updates, lambda u: F.coalesce(u["size"] != 0, F.lit(False)))),
+    }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import clocks, compare, findings, merge, selection
+from ..operators import clocks, compare, findings, joins, merge, selection, timeline
 from ..sources import containers, lossless, media
 from .catalog import E, events, query, table
 
@@ -163,3 +163,32 @@ def catalog_faults(spark, d):
 @query(f"WITH {E} SELECT event_id - 20 AS event_id, user_id FROM e WHERE event_id BETWEEN 20 AND 59")
 def cut_groups(spark, d):
     return selection.cut(events(spark, d).select("event_id", "user_id"), "event_id", 20, 59)
+
+
+# -- trajectories and metadata
+
+
+@query("""SELECT user_id, event_id AS begins, event_id + user_id % 32 AS ends, coalesce(lag(event_type) OVER w, event_type) AS from_value, event_type AS to_value, lead(event_id) OVER w AS holds_until FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def ramp_segments(spark, d):
+    return timeline.ramp_segments(events(spark, d).withColumn("ramp", F.col("user_id") % 32), ["user_id"], "event_id", "ramp", "event_type")
+
+
+@query("""WITH c AS (SELECT event_id, event_id % 63 AS x, user_id % 63 AS y, event_id % 31 - 15 AS z, event_id % 5 - 2 AS f FROM events)
+SELECT event_id, round(least(greatest(x / 62.0 + f / 310.0, 0), 1), 9) AS x, round(least(greatest(y / 62.0 - f / 310.0, 0), 1), 9) AS y, round(least(greatest(z / 15.0 + f / 75.0, -1), 1), 9) AS z FROM c""")
+def room_points(spark, d):
+    fine = F.col("event_id") % 5 - 2
+    point = timeline.room_point(F.col("event_id") % 63, F.col("user_id") % 63, F.col("event_id") % 31 - 15, [fine, -fine, fine])
+    return events(spark, d).select("event_id", *(F.round(c, 9).alias(n) for n, c in zip("xyz", point, strict=True)))
+
+
+@query("""SELECT l_orderkey, arg_min(l_partkey, struct_pack(a := l_linenumber, b := l_partkey)) FILTER (l_returnflag = 'R') AS first_r, CAST(count(*) FILTER (l_linestatus = 'O' AND l_linenumber <> 2 AND l_suppkey % 4 <> 0) AS INT) AS gains, CAST(count(*) FILTER (l_suppkey % 4 = 0) AS INT) AS muted, CAST(count(*) FILTER (l_partkey % 3 <> 0) AS INT) AS sized FROM lineitem GROUP BY l_orderkey""")
+def element_counts(spark, d):
+    update = F.struct(F.col("l_linenumber"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("part"), F.when(F.col("l_linestatus") == "O", F.col("l_linenumber") - 2).alias("gain"), (F.col("l_suppkey") % 4 == 0).alias("muted"), (F.col("l_partkey") % 3).alias("size"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(update)).alias("u"))
+    return rows.select("l_orderkey", timeline.first_of_kind(F.col("u"), "R")["part"].alias("first_r"), *(c.alias(n) for n, c in timeline.gain_and_size_counts(F.col("u")).items()))
+
+
+@query("SELECT o_orderkey, r_name AS key FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def reference_chain_of_three(spark, d):
+    start = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    return joins.chain(start, [(table(spark, d, "customer"), "c_custkey", "c_nationkey"), (table(spark, d, "nation"), "n_nationkey", "n_regionkey"), (table(spark, d, "region"), "r_regionkey", "r_name")], "key")

@@ -266,3 +266,35 @@ def repaired(unit: bytes, substreams: int) -> tuple[bytes, bool, bool]:
         else:
             raise ValueError("the directory is cut off")
     return bytes(out), wrong_sum, wrong_parity
+
+
+# -- filters
+
+@dataclass
+class Filter:
+    order: int
+    shift: int
+    coefficients: list[int]
+    state: list[int]
+
+
+def read_filter(r: BitReader, most_order: int, states: bool) -> Filter:
+    """A prediction filter's coefficients (states: an IIR filter may bring its state); ValueError where a field is out of its range."""
+    order = r.read(4)
+    if order > most_order:
+        raise ValueError(f"a filter of order {order}, where {most_order} is the most")
+    if not order:
+        return Filter(0, 0, [], [])
+    shift, bits, coarse = r.read(4), r.read(5), r.read(3)
+    if not 1 <= bits <= 16:
+        raise ValueError(f"coefficients of {bits} bits")
+    if bits + coarse > 16:
+        raise ValueError("coefficients of more than 16 bits with their shift")
+    coefficients = [r.signed(bits) << coarse for _ in range(order)]
+    state = []
+    if r.read(1):
+        if not states:
+            raise ValueError("this filter can't bring a state")
+        wide, up = r.read(4), r.read(4)
+        state = [r.signed(wide) << up if wide else 0 for _ in range(order)]
+    return Filter(order, shift, coefficients, state)

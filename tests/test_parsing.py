@@ -218,3 +218,28 @@ def test_streams_let_go_of_what_is_open_at_their_end(spark, tmp_path):
     regions = run.available_now(streams.region_stream(source, "s", "t", "damaged", "restarted", "over"), "regions").orderBy("first_unit").collect()
     assert [(r.first_unit, r.last_unit, r.entry_unit, r.parts) for r in regions] == [(1, 2, 3, 1), (4, 5, None, 2)]
     spark.streams.removeListener(listener)
+
+
+def test_filters_are_read_within_their_ranges():
+    w = BitWriter().write(2, 4).write(9, 4).write(5, 5).write(1, 3).write(0b11111, 5).write(0b01111, 5).write(1, 1).write(4, 4).write(2, 4).write(0b1000, 4).write(0b0111, 4)
+    f = lossless.read_filter(BitReader(w.bytes()), 4, True)
+    assert (f.order, f.shift, f.coefficients, f.state) == (2, 9, [-2, 30], [-32, 28])
+    assert lossless.read_filter(BitReader(b"\0"), 8, False).order == 0
+    for bits in ([(9, 4)], [(1, 4), (0, 4), (0, 5), (0, 3)], [(1, 4), (0, 4), (16, 5), (1, 3)], [(1, 4), (0, 4), (1, 5), (0, 3), (0, 1), (1, 1)]):
+        w = BitWriter()
+        for v, n in bits:
+            w.write(v, n)
+        with pytest.raises(ValueError):
+            lossless.read_filter(BitReader(w.write(0, 30).bytes()), 8, False)
+
+
+def test_dither_and_fades():
+    from siltstream.functions import dsp
+
+    a, b, seed = dsp.dither(0x123456, 40, 3)
+    x, y, middle = dsp.dither(0x123456, 15, 3)
+    z, _, end = dsp.dither(middle, 25, 3)
+    assert np.concatenate([x, z]).tolist() == a.tolist() and end == seed and (a % 8 == 0).all() and a.min() < 0 < a.max() and len(b) == 40
+    faded = dsp.cross_faded(np.zeros(8), 2, np.full(5, 6.0), 2)
+    assert faded.tolist() == [0, 0, 2, 4, 6, 4, 2, 0]
+    assert dsp.cross_faded(np.zeros(3), -4, np.ones(2), 1).tolist() == [0, 0, 0] and dsp.cross_faded(np.zeros(3), 2, np.full(3, 4.0), 0).tolist() == [0, 0, 4]
