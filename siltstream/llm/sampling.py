@@ -466,4 +466,4 @@ class Speller:
 
 
 def op9_segmentation_sampling(spark, sf_dir: str) -> DataFrame:
-    return sample_segmentations(spark.read.parquet(f"{sf_dir}/documents.parquet"), Vocabulary.read(PIECES).zipf(), with_ids=False)
+    return sample_segmentations(spark.read.parquet(f"{sf_dir}/documents.parquet"), Vocabulary.read(PIECES).zipf())
