@@ -67,6 +67,13 @@ def test_short_lines_one_word_apart_go(spark):
     assert {(x.key, x.number, x.near) for x in got} == {(2, 0, True), (3, 0, True), (3, 1, True)}
 
 
+def test_rows_that_repeat_are_one_document(spark):
+    rows = [(1, "one two three\none two three")] * 3 + [(None, "x y z\nq")] * 4 + [(2, "x y z\none two three")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text, r._ld_lines, r._ld_equal, r._ld_near) for r in got} == {(1, "one two three", 2, 1, 0), (None, "x y z\nq", 2, 0, 0), (2, "", 2, 2, 0)}
+    assert len(got) == 8
+
+
 def test_word_distance():
     r = random.Random(4)
 

@@ -90,6 +90,21 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir):
         assert stage(spark, name, none, sf_dir).count() == 0
 
 
+def test_rows_are_told_apart_by_key_and_text(spark, sf_dir):
+    """And columns may bear any name."""
+    long = " ".join(f"w{i}" for i in range(60))
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(5, long, 77), (5, "quite another text " + long[::-1], 78), (9, long + " more", 79), (None, long, 80), (None, long, 81), (7, "x", 82), (7, "x", 83), (3, item, 84), (3, "not that item", 85)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n long").selectExpr("*", "1 AS _held", "2 AS rid", "3 AS row", "4 AS later", "5 AS component_id", "6 AS first")
+    alike = corpus_pipeline.keep_one_of_alike(spark, df, sf_dir)
+    assert alike.columns == df.columns
+    assert sorted(r._n for r in alike.collect()) == [77, 78, 82, 84, 85]
+    clean = corpus_pipeline.drop_contaminated(spark, df, sf_dir)
+    assert clean.columns == df.columns and sorted(r._n for r in clean.collect()) == [77, 78, 79, 80, 81, 82, 83, 85]
+    lines = corpus_pipeline.drop_repeated_lines(spark, df, sf_dir)
+    assert lines.columns == df.columns and {r._n for r in lines.collect()} >= {78, 84, 85}
+
+
 def test_run(spark, sf_dir, kept):
     got = corpus_pipeline.run(spark, sf_dir)
     key = ["doc_id", "sample", "ids_md5"]

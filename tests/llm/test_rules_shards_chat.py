@@ -51,6 +51,102 @@ def test_a_list_is_learned_and_spares_the_good():
     assert not rules.learn(x, r.random(n) < 0.2, np.arange(n) % 3)  # nothing to be learned: no rule
 
 
+def plain_list(rows, most_rules=12, most_conditions=4, precision=0.95, at_least=5):
+    """The decision list of rows (values by feature, bad, fold), row by row: [[(feature, above, threshold)]]."""
+    cuts = {}
+    for f in rows[0][0]:
+        d = sorted({x[f] for x, _, _ in rows})
+        middle = [(a + b) / 2 for a, b in zip(d, d[1:])]
+        cuts[f] = middle if len(middle) <= 200 else sorted(set(np.quantile(middle, np.linspace(0, 1, 200)).tolist()))
+
+    def holds(c, x):
+        return x[c[0]] >= c[2] if c[1] else x[c[0]] < c[2]
+
+    def counts(rule, some):
+        hit = [bad for x, bad, _ in some if all(holds(c, x) for c in rule)]
+        return sum(hit), len(hit) - sum(hit)
+
+    out, left = [], list(rows)
+    while len(out) < most_rules:
+        grow, prune = [r for r in left if r[2] != 0], [r for r in left if r[2] == 0]
+        if sum(r[1] for r in grow) < at_least or not any(r[1] for r in prune):
+            break
+        rule, inside = [], grow
+        while len(rule) < most_conditions:
+            p = sum(r[1] for r in inside)
+            n = len(inside) - p
+            if not p or not n:
+                break
+            best, gain = None, 1e-9
+            for f, thresholds in cuts.items():
+                for above in (True, False):
+                    for t in thresholds:
+                        pos, neg = counts([(f, above, t)], inside)
+                        g = pos * (np.log2(pos / (pos + neg)) - np.log2(p / (p + n))) if pos else 0
+                        if g > gain + 1e-9:
+                            best, gain = (f, above, t), g
+            if best is None:
+                break
+            rule.append(best)
+            inside = [r for r in inside if holds(best, r[0])]
+        if not rule:
+            break
+
+        def worth(k):
+            p, n = counts(rule[:k], prune)
+            return ((p - n) / (p + n) if p + n else -1.0, -k)
+
+        rule = rule[: max(range(1, len(rule) + 1), key=worth)]
+        p, n = counts(rule, prune)
+        if not p or p / (p + n) < precision:
+            break
+        out.append(rule)
+        left = [r for r in left if not all(holds(c, r[0]) for c in rule)]
+    return out
+
+
+def test_the_list_is_a_plain_learners():
+    learned = 0
+    for seed in range(8):
+        r = random.Random(seed)
+        names = list(rules.FEATURES)[:3]
+        rows = []
+        for i in range(150):
+            x = {f: r.randrange(12) / 4 for f in names}
+            bad = (x[names[0]] > 1.5 and x[names[1]] < 1.5) or x[names[2]] > 2.4
+            rows.append((x, bool(bad) != (r.random() < 0.03), i % 3))
+        got = rules.learn({f: np.array([x[f] for x, _, _ in rows]) for f in names}, np.array([b for _, b, _ in rows]), np.array([k for _, _, k in rows]))
+        assert [[(c.feature, c.above, c.threshold) for c in rule] for rule in got] == plain_list(rows)
+        learned += len(got)
+    assert learned > 8
+
+
+def test_verdicts_of_the_table_are_plain(spark, sf_dir):
+    """Every row's verdict, from its text and the list alone."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    counted = through_table(rules.with_statistics(docs.select("doc_id", "text")).drop("text"), "test")
+    found = rules.fit_rules(counted, labels)
+    assert found
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+
+    def plain_values(text):
+        n_words, word_chars, n_symbols, n_dup, n_repeat = plain_statistics(text)
+        w, lines = words(text), [x for x in text.split("\n") if words(x)]
+        chars, n = max(word_chars, 1), max(n_words, 1)
+        return dict(zip(rules.FEATURES, (
+            n_symbols / chars, sum("A" <= c <= "Z" for c in text) / chars, sum(c in "!?" for c in text) / n, sum("0" <= c <= "9" for c in text) / chars, n_dup / max(len(lines), 1), n_repeat / n,
+            sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / n, word_chars / n, n_words / max(len(lines), 1), float(n_words),
+        ), strict=True)), n_words < 20 or 100 * n_repeat > 30 * n_words
+
+    expected = {}
+    for i, t in texts.items():
+        x, failed = plain_values(t)
+        hit = next((k for k, rule in enumerate(found, 1) if all(x[c.feature] >= c.threshold if c.above else x[c.feature] < c.threshold for c in rule)), None)
+        expected[i] = (failed, not failed and hit is None, None if failed else hit)
+    assert {r.doc_id: (r.base_failed, r.kept, r.rule) for r in rules.op5_quality_rules(spark, sf_dir).collect()} == expected
+
+
 def test_verdicts_follow_the_list(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest tables have too few labels to learn from
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
@@ -100,6 +196,15 @@ def test_weighted_and_closed_shards(spark):
         sharding.shard_for(F.col("id"), [0, -1])
 
 
+def test_rows_that_repeat_a_thousandfold(spark):
+    """Without a key, or equal in all: each gets a slot of its own."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    got = sharding.shard_documents(df)
+    assert got.count() == 6000 and got.where("doc_id is null").select("shard").distinct().count() == 1
+    slots = got.groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count(F.lit(1)).alias("c")).collect()
+    assert all((x.n, x.a, x.b) == (x.c, 0, x.c - 1) for x in slots)
+
+
 def test_sharding_odd_and_empty_tables(spark):
     df = odd_documents(spark)
     got = sharding.shard_documents(df).collect()
