@@ -250,20 +250,20 @@ def regions_capped(spark, d):
 
 # -- clocks
 
-CLOCK = "c AS (SELECT event_id, user_id, CAST((event_id * 1000 + (event_id * 7919) % 400) % 65536 AS BIGINT) AS clock FROM events)"
+CLOCK = "c AS (SELECT event_id, user_id, CAST((event_id * 100 + (event_id * 7919) % 400) % 65536 AS BIGINT) AS clock FROM events)"
 
 
 def clocked(spark, d):
-    return events(spark, d).select("event_id", "user_id", ((F.col("event_id") * 1000 + (F.col("event_id") * 7919) % 400) % 65536).alias("clock"), (F.col("user_id") % 4).alias("stream"))
+    return events(spark, d).select("event_id", "user_id", ((F.col("event_id") * 100 + (F.col("event_id") * 7919) % 400) % 65536).alias("clock"), F.col("user_id").alias("stream"))
 
 
-@query("WITH " + CLOCK.replace("SELECT event_id,", "SELECT user_id % 4 AS stream, event_id,") + """, s AS (SELECT *, CASE WHEN clock + 32768 < lag(clock) OVER (PARTITION BY stream ORDER BY event_id) THEN 65536 ELSE 0 END AS s FROM c)
+@query("WITH " + CLOCK.replace("SELECT event_id,", "SELECT user_id AS stream, event_id,") + """, s AS (SELECT *, CASE WHEN clock + 32768 < lag(clock) OVER (PARTITION BY stream ORDER BY event_id) THEN 65536 ELSE 0 END AS s FROM c)
 SELECT stream, event_id, CAST(clock + sum(s) OVER (PARTITION BY stream ORDER BY event_id) AS BIGINT) AS unwrapped FROM s""")
 def clock_unwrap(spark, d):
     return clocks.unwrap(clocked(spark, d), ["stream"], ["event_id"], "clock").select("stream", "event_id", "unwrapped")
 
 
-@query("WITH " + CLOCK.replace("SELECT event_id,", "SELECT user_id % 4 AS stream, event_id,") + """, i AS (SELECT *, ((clock - lag(clock) OVER (PARTITION BY stream ORDER BY event_id)) % 65536 + 65536) % 65536 AS interval FROM c)
+@query("WITH " + CLOCK.replace("SELECT event_id,", "SELECT user_id AS stream, event_id,") + """, i AS (SELECT *, ((clock - lag(clock) OVER (PARTITION BY stream ORDER BY event_id)) % 65536 + 65536) % 65536 AS interval FROM c)
 SELECT stream, event_id, interval, coalesce(interval < 900 OR interval > 9000, false) AS jump FROM i""")
 def interval_jump(spark, d):
     return clocks.interval_jumps(clocked(spark, d), ["stream"], ["event_id"], "clock", F.lit(900), F.lit(9000)).select("stream", "event_id", "interval", "jump")

@@ -394,20 +394,30 @@ def encode_pcm(samples: np.ndarray, bits: int) -> bytes:
 
 
 def write_audio(samples: DataFrame, open_output: Callable[[], io.BufferedIOBase], channels: int, rate: int, bits: int = 24, container: str = "wave") -> int:
-    """Writes (position, channel, sample) as one interleaved file, in order, a partition of the sorted table at a time; returns the frames. What is missing between positions is silence."""
-    ordered = samples.groupBy("position").agg(F.map_from_entries(F.collect_list(F.struct("channel", "sample"))).alias("by")).orderBy("position")
+    """Writes (position, channel, sample) as one interleaved file, in order; returns the frames. What is missing between positions is silence. Tasks turn runs of frames into bytes; the driver puts them end to end, a partition of the sorted table at a time."""
+    by = samples.groupBy("position").agg(F.map_from_entries(F.collect_list(F.struct("channel", "sample"))).alias("by"))
     row = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.coalesce(F.col("by")[c], F.lit(0)))
+
+    def encoded(batches):
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            values = np.asarray(batch.column(1).flatten()).reshape(-1, channels)
+            runs = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
+            blocks = [encode_pcm(np.ascontiguousarray(values[a:b], np.int32).reshape(-1), bits) for a, b in zip(runs[:-1], runs[1:], strict=True) if b > a]
+            firsts = [int(at[a]) for a, b in zip(runs[:-1], runs[1:], strict=True) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(blocks, pa.binary())], ["position", "bytes"])
+
+    frame = channels * bits // 8
     last = samples.agg(F.max("position")).first()[0]
     frames_ = 0 if last is None else last + 1
-    size = frames_ * channels * bits // 8
+    size = frames_ * frame
     with open_output() as out:
         out.write(wave_header(channels, rate, bits, frames_) if container == "wave" else caf_header(channels, rate, bits, size) if container == "caf" else b"")
         at = 0
-        for r in ordered.select("position", row.alias("s")).toLocalIterator():
-            if r.position > at:
-                out.write(bytes((r.position - at) * channels * bits // 8))
-            out.write(encode_pcm(np.array(r.s, np.int32), bits))
-            at = r.position + 1
+        for r in by.orderBy("position").select(F.col("position").cast("long"), row.alias("s")).mapInArrow(encoded, "position long, bytes binary").toLocalIterator():
+            out.write(bytes((r.position - at) * frame))
+            out.write(r.bytes)
+            at = r.position + len(r.bytes) // frame
         if size & 1 and container == "wave":
             out.write(b"\0")
     return frames_
