@@ -27,8 +27,9 @@ training never saw leaves the shorter one's. Over the V tokens and one unknown t
 
 Defined results: a null text or an empty one has one token, its end. A null doc_id counts as
 an empty one (its crc32 is 0: training). Repeated rows count as often as they stand there. No
-training text at all: every token has probability 1 / (V + 1) with V = 0. Other columns are
-not read.
+training text at all: every token has probability 1 / (V + 1) with V = 0. A text of any length is
+scored whole, in memory that grows with its own length. Nothing is chosen, so there are no ties. An empty table gives
+an empty one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ rules, in order, become CASE WHEN branches; the first that holds names the verdi
 
 Defined results: a null or empty text has no words and fails the base rule. A row whose key is null, or whose
 label is null, teaches nothing; of several labels for a key each counts. Without labels of both kinds
-the list is empty and the base rule alone decides. One row out for one row in, repeated keys too. Other columns are
-not read. Word windows are compared by 64-bit hashes.
+the list is empty and the base rule alone decides. One row out for one row in, repeated keys too. A text of any
+length is counted whole, in memory that grows with its own length. Of conditions with equal gains the first holds (by
+feature, then above before below, then threshold); of prunings worth the same the shortest. An empty table gives an
+empty one. Other columns are not read, whatever their names. Word windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
