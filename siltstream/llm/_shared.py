@@ -289,6 +289,11 @@ def begin_stage(name: str) -> None:
     for held in _caches:
         held.clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: what numpy and Arrow have let go stays with the process otherwise, beside the next step's."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -41,15 +41,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import CHUNK, LOWER, U64, Words, chunks, count_unique, mix64, small_batches, unmix64
-from ._shared import HashArrays, begin_stage, by_shard, coded, inner_folder, pack, release_shuffles, shared_folder, shards_for, sizes_of, text_bytes, unpack, write_shard
+from ._bytes import LOWER, U64, Words, chunks, count_unique, mix64, small_batches, unmix64
+from ._shared import HashArrays, begin_stage, by_shard, coded, give_back, inner_folder, pack, release_shuffles, shared_folder, shards_for, sizes_of, text_bytes, unpack, write_shard
 
 END, BEGIN = (int(x) for x in mix64(np.array([1, 2], U64)))
 BLOBS = "shard int, blob binary"
+#: Bytes of text that are worked on at once.
+CHUNK = 1 << 20
 #: Distinct keys that a map task holds before it sends them off.
 HELD = 1_000_000
 #: Keys of one shard that are held before they are added up.
-MERGED = 2_000_000
+MERGED = 1_000_000
 #: Words whose sums one task adds up.
 WORDS = 100_000
 #: What a context has in all and what it leaves have few different pairs: these are a table.
@@ -81,13 +83,14 @@ def _summed(batches: Iterator[pa.RecordBatch], keys_of, shards: int) -> Iterator
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
     for batch in small_batches(batches, CHUNK):
-        for _, data, offsets in chunks(batch.column(0)):
+        for _, data, offsets in chunks(batch.column(0), CHUNK):
             keys, counts = count_unique(keys_of(*tokens(data, offsets)))
             held.append((keys, counts))
             size += len(keys)
             if size > HELD:
                 yield send()
                 held, size = [], 0
+                give_back()
     if held:
         yield send()
 
@@ -100,6 +103,7 @@ def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         size += len(held[-1][0])
         if size > room:
             held = [count_unique(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            give_back()
             size = len(held[0][0])
             room = max(MERGED, 2 * size)
     return count_unique(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -167,6 +171,7 @@ def _count_level(texts: DataFrame, uri: str, shards: int, sizes: list[list[int]]
         keys, counts = _merge(table)
         s = key[0].as_py()
         write_shard(f"{uri}/{level}", s, key=keys, count=counts)
+        give_back()
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "counts": pa.array([[int((counts == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64()))})
 
     return texts.mapInArrow(grams, BLOBS).groupBy("shard").applyInArrow(store, "shard int, n long, counts array<long>").collect()  # a row for each shard
@@ -194,6 +199,8 @@ def _sum_level(spark, uri: str, shards: int, sizes: list[list[int]], level: int,
                         out["shard"].append(int(g))
                         out["what"].append(what)
                         out["blob"].append(pack_columns((numbers[a:b] - place.base[edges1[g]]).astype(U64), *(c[a:b] for c in columns)))
+                del gram, counts, first, second, columns, numbers
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["what"], pa.string()), pa.array(out["blob"], pa.binary())], ["shard", "what", "blob"])
 
     def store_contexts(key, table):
@@ -244,7 +251,7 @@ class KneserNey:
         spark = texts.sparkSession
         texts = texts.select(F.col(text).cast("string").alias("text"))
         size = text_bytes(texts)
-        uri, shards = shared_folder(spark, "lm"), shards_for(spark, size)
+        uri, shards = shared_folder(spark, "lm"), 2 * shards_for(spark, size)
 
         def words(batches):
             begun = False
