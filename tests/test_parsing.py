@@ -243,3 +243,21 @@ def test_dither_and_fades():
     faded = dsp.cross_faded(np.zeros(8), 2, np.full(5, 6.0), 2)
     assert faded.tolist() == [0, 0, 2, 4, 6, 4, 2, 0]
     assert dsp.cross_faded(np.zeros(3), -4, np.ones(2), 1).tolist() == [0, 0, 0] and dsp.cross_faded(np.zeros(3), 2, np.full(3, 4.0), 0).tolist() == [0, 0, 4]
+
+
+def test_stalled_groups_writes_the_missing_out_last(spark):
+    r = random.Random(5)
+    rows = [(s, g, r.randrange(1, 5)) for s, groups in (("a", range(-2100, 2100, 7)), ("b", [0, 1023, 1024, 5000]), ("c", [2047]), (None, [3, 5])) for g in groups for _ in range(2)]
+    rows += [("d", None, 1), ("e", 4, None), ("e", 6, 1), ("e", 7, 9)]
+    got = reports.stalled_groups(spark.createDataFrame(rows, "s string, g long, k int"), ["s"], "g", "k", [1, 2, 3])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # what is missing is not shuffled
+    expected = []
+    for s in [*"abcde", None]:
+        there = {(g, k) for t, g, k in rows if t == s and g is not None}
+        groups, found = [g for g, _ in there], there if s else set()  # nothing can be found in a null stream
+        last = {k: max((g for g, j in found if j == k), default=None) for k in (1, 2, 3)}
+        for g in range(min(groups), max(groups) + 1) if groups else []:
+            expected += [(s, g, k, last[k] is not None and last[k] > g) for k in (1, 2, 3) if (g, k) not in found]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+    assert len(expected) > 15_000
