@@ -54,11 +54,12 @@ def clean_average(df: DataFrame, stream: Sequence[str], order: Sequence[str], cl
     return df.withColumn("average", F.avg(F.when(clean, size)).over(w))
 
 
-def title_and_year(name: Column) -> tuple[Column, Column]:
-    """Title and year of a file name such as "Some.Title.1999.rest": the last number of a year's form ends the title; without one the whole name is the title."""
+def title_and_year(name: Column, release: str | None = None) -> tuple[Column, Column]:
+    """Title and year of a file name such as "Some.Title.1999.rest": the last number of a year's form ends the title; without one the whole name is the title. With `release`, a pattern of the words that follow a year, a number that stands before other words belongs to the title."""
     stem = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[A-Za-z0-9]{2,4}$", "")
-    year = F.regexp_extract(stem, r"^.+[ ._(\[]((?:19|20)\d\d)(?:[ ._)\]].*)?$", 1)
-    title = F.when(year != "", F.regexp_extract(stem, r"^(.+)[ ._(\[](?:19|20)\d\d(?:[ ._)\]].*)?$", 1)).otherwise(stem)
+    rest = r"(?:[ ._)\]].*)?$" if release is None else rf"(?:[ ._)\]]+(?:(?:{release})(?:[ ._(\[].*)?)?)?$"
+    year = F.regexp_extract(stem, rf"^.+[ ._(\[]((?:19|20)\d\d){rest}", 1)
+    title = F.when(year != "", F.regexp_extract(stem, rf"^(.+)[ ._(\[](?:19|20)\d\d{rest}", 1)).otherwise(stem)
     return F.trim(F.regexp_replace(title, r"[._]+", " ")), F.nullif(year, F.lit("")).cast("int")
 
 

@@ -58,3 +58,9 @@ def test_timecodes_from_100_hours_on(spark, tmp_path):
     keys = [int(h * hours) + i for h in (0, 9, 10, 99, 100, 101, 412, 999, 1000, 12_345) for i in range(3)]
     got, expected = on_orders(spark, tmp_path, "timecodes", [(k, 0) for k in keys])
     assert got == expected and len(got) == len(keys)
+
+
+def test_titles_with_customers_that_look_like_years(spark, tmp_path):
+    keys = [(7 * i + j, c) for i, c in enumerate([189, 1899, 1900, 1954, 1995, 1999, 2000, 2019, 2047, 2099, 2100, 19_541, 195_400]) for j in range(6)]
+    got, expected = on_orders(spark, tmp_path, "titles", keys)
+    assert got == expected and len(got) == len(keys)

@@ -247,6 +247,12 @@ def test_greedy_pairs_and_titles(spark):
         selection.clauses(df, ["nothing"])
 
 
+def test_titles_before_a_known_release(spark):
+    names = ["Room.1984.part.mkv", "Room.1984.1999.1080p.x.mkv", "Room 1984 (1999) [WEB] x.mkv", "Room (1999).mkv", "Room.1999.mkv", "Room.1999.1080person.mkv", "2012.2009.WEB.mkv"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(*selection.title_and_year(F.col("n"), r"\[?(?:\d{3,4}p|WEB)\]?"))
+    assert [tuple(r) for r in df.collect()] == [("Room 1984 part", None), ("Room 1984", 1999), ("Room 1984", 1999), ("Room", 1999), ("Room", 1999), ("Room 1999 1080person", None), ("2012", 2009)]
+
+
 def test_sequences_wrap(spark):
     rows = spark.createDataFrame([(i, n) for i, n in enumerate([5, 6, 1023, 1, 2, 0, 1, 3])], "at int, n int").withColumn("s", F.lit(1))
     got = clocks.sequence_gaps(rows, ["s"], ["at"], "n", wrap_after=1023).orderBy("at").collect()
